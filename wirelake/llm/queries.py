@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, simhash, token_hist
+from . import exact_dedup, packing, probminhash, quality, simhash, token_hist
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -41,7 +41,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_token_counts, op9_packing)}
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_token_counts, op9_packing, op10_probminhash)}
 
 ORACLE = {
     "op3_exact_dedup": """
