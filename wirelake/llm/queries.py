@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, probminhash, quality, simhash, token_hist
+from . import exact_dedup, packing, pii, probminhash, quality, secrets, simhash, token_hist
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -37,6 +37,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.lengths(table(spark, sf_dir, "documents")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -45,7 +53,7 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_token_counts, op9_packing, op10_probminhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_token_counts, op7_pii, op8_secrets, op9_packing, op10_probminhash)}
 
 ORACLE = {
     "op3_exact_dedup": """
