@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, probminhash, quality, secrets, simhash, token_hist
+from . import exact_dedup, html_blocks, packing, pii, probminhash, quality, secrets, sentencepiece_sa, simhash, token_hist
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -33,6 +33,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.withColumnRenamed("full_hash", "text_sha256")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to."""
+    return sentencepiece_sa.digests(sentencepiece_sa.encode(table(spark, sf_dir, "documents")))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.lengths(table(spark, sf_dir, "documents")))
 
@@ -53,7 +62,7 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op6_token_counts, op7_pii, op8_secrets, op9_packing, op10_probminhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_exact_dedup, op4_sentencepiece, op5_html, op6_token_counts, op7_pii, op8_secrets, op9_packing, op10_probminhash)}
 
 ORACLE = {
     "op3_exact_dedup": """
