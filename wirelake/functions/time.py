@@ -17,14 +17,14 @@ def seconds(ns="timestamp_ns") -> Column:
 
 def event_time(start_ns="start_ns", ns="timestamp_ns") -> Column:
     """Whole microseconds; NULL where the start is unknown (0)."""
-    micros = F.timestamp_micros(F.floor((col(start_ns) + col(ns)) / F.lit(1000)).cast("long"))
+    micros = F.timestamp_micros(F.call_function("div", col(start_ns) + col(ns), F.lit(1000)))
     return F.when(col(start_ns) != 0, micros)
 
 
 def iso_ns(ns) -> Column:
     """ISO-8601 with nine digits, UTC."""
     n = col(ns)
-    whole = F.floor(n / F.lit(1_000_000_000)).cast("long")
+    whole = F.call_function("div", n, F.lit(1_000_000_000))
     return F.concat(F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(n, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("Z"))
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, In, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wirelake.schema import LOG_COLUMNS, SOURCE_ROWS, names
 
@@ -360,15 +360,6 @@ class BlfReader(DataSourceReader):
         self.absolute = str(options.get("absolute", "false")).lower() == "true"
         self.paths = expand(options["path"], (".blf",))
 
-    def pushFilters(self, filters):
-        """Type filters are applied before objects are decoded."""
-        for f in filters:
-            if isinstance(f, (In, EqualTo)) and tuple(f.attribute) == ("message_type",):
-                values = frozenset(f.value if isinstance(f, In) else (f.value,))
-                self.wanted = values if self.wanted is None else self.wanted & values
-            else:
-                yield f
-
     def partitions(self):
         out = []
         for path in self.paths:
@@ -413,7 +404,11 @@ def expand(path: str, suffixes: tuple[str, ...]) -> list[str]:
 
 
 class BlfSource(DataSource):
-    """``spark.read.format("blf").option("types", "CAN,ETH").load(path)``."""
+    """``spark.read.format("blf").option("types", "CAN,ETH").load(path)``.
+
+    Types are chosen by the option, before objects are decoded. They are not
+    pushed down from filters: Spark 4.1 keeps one reader for all scans of a
+    DataFrame, so the filter of one branch would reach the others."""
 
     @classmethod
     def name(cls):
@@ -427,8 +422,7 @@ class BlfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``format("blf")`` known; type filters are pushed into the reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes ``format("blf")`` known."""
     spark.dataSource.register(BlfSource)
 
 
