@@ -313,7 +313,7 @@ def objects_of(f, offsets: list[int], further: list[int] = (), first: bool = Tru
         if late and found:
             return
         rest = rest[end:]
-    if rest:
+    if rest and not skip:
         raise BlfError("the last object is cut off")
 
 
