@@ -1,0 +1,182 @@
+"""PII, secrets and HTML against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+
+from wirelake.llm import html_blocks, pii, secrets
+
+
+def digits(v):
+    return re.sub("[^0-9]", "", v)
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.group().split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m.group())) <= 15),
+}
+SECRETS = {
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(1)) >= 6),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+    "hex": (r"[0-9a-f]+", lambda m: len(m.group()) >= 24),
+}
+
+
+def found(text, kinds):
+    return [(k, m.start(), m.end()) for k, (p, keep) in kinds.items() for m in re.finditer(p, text or "") if keep(m)]
+
+
+def fuzz(parts, n, seed):
+    r = random.Random(seed)
+    return [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(n)]
+
+
+EDGES = [(1000, None), (1001, ""), (1002, "9" * 40_000), (1003, "a." * 20_000 + "@x.y"), (1004, "1.1.1.1 " * 3000), (1005, "é🙂 a@b.co 中"), (1006, "a@b.c%x@d.e"), (1007, "token" + " " * 30_000 + "x"), (1008, "+1" + "-" * 30_000), (1008, "+1 (017) 555-7713 tie")]
+PII_PARTS = ["a", "B7", "@", ".", "%", "+", "-", " ", "1", "25", "300", "4111111111111111", "4111 1111-1111 1111", "+1 (017) 555-7713", "x@y.co", "10.0.0.1", "é", "🙂", "\n", "(", ")", "0"]
+SECRET_PARTS = ["token", "PASSWORD", "api_key", "apikey", "secret", " ", "=", ":", '"', "'", "abc123", "deadbeef" * 3, "AKIA", "ABCDEFGH12345678", "f", "0", "é", "🙂", "\n", "/", "q8Zr1Lx0Wm5Tn2Yc7Vb4"]
+
+
+def test_base_pii_equals_python(documents):
+    rows = fuzz(PII_PARTS, 400, 1) + EDGES
+    out = {}
+    for r in pii.digest(pii.find(documents(rows))).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    for i, t in rows:
+        spans = found(t, PII)
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        sha = hashlib.sha256(want.encode()).hexdigest()
+        r = next(r for r in out[i] if r["base_sha256"] == sha)
+        assert [r[f"n_{k}"] for k in PII] == [sum(s[0] == k for s in spans) for k in PII]
+        assert r["spans"].startswith(want)
+
+
+def test_base_secrets_equal_python(documents):
+    rows = fuzz(SECRET_PARTS, 400, 2) + EDGES
+    out = {}
+    for r in secrets.digest(secrets.find(documents(rows, extra=True))).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    order = list(SECRETS)
+    for i, t in rows:
+        spans = sorted(found(t, SECRETS), key=lambda s: (s[1], order.index(s[0])))
+        want = [f"{k}:{a}:{b}" for k, a, b in spans]
+        sha = hashlib.sha256(",".join(want).encode()).hexdigest()
+        r = next(r for r in out[i] if r["base_sha256"] == sha)
+        assert [r[f"n_{k}"] for k in SECRETS] == [sum(s[0] == k for s in spans) for k in SECRETS]
+        assert set(want) <= set(r["spans"].split(",")) or not want
+
+
+def window_entropy(v, w=secrets.WINDOW):
+    best = 0.0
+    for at in range(len(v) - w + 1):
+        part = v[at : at + w]
+        best = max(best, -sum(part.count(c) / w * math.log2(part.count(c) / w) for c in set(part)))
+    return best
+
+
+def test_sliding_entropy_equals_brute_force(spark):
+    r = random.Random(3)
+    alphabet = "ABCDEFGHabcdefgh0123456789+/_=-"
+    values = ["".join(r.choice(alphabet[: r.randint(2, 31)]) for _ in range(r.randint(20, 120))) for _ in range(80)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", f"{secrets._entropy('v')} as e")
+    for row in df.collect():
+        assert row["e"] == pytest.approx(window_entropy(row["v"]), abs=1e-9)
+
+
+def test_entropy_spans_and_allow_list(documents):
+    key = "q8Zr1Lx0Wm5Tn2Yc7Vb4Kd9"
+    rows = [(1, f"see {key} here"), (2, "Oneaoutionheertionentionandmore"), (3, "550e8400-e29b-41d4-a716-446655440000"), (4, "exampleq8Zr1Lx0Wm5Tn2Yc7Vb4"), (5, f"token = {key}"), (6, "1234567890123456789012345")]
+    out = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(documents(rows))).collect()}
+    assert out[1] == f"entropy:4:{4 + len(key)}"
+    assert out[2] == out[3] == out[4] == ""
+    assert out[5].startswith("assign:") and "entropy" not in out[5]  # within a base span
+    assert "entropy" not in out[6]
+
+
+def planted_terms():
+    rows, fillers = [], ["river", "table", "window", "garden", "letter", "music", "paper", "stone"]
+    r = random.Random(5)
+    for i in range(6):  # one person's address in six contexts, always near a rare name
+        rows.append((i, f"{' '.join(r.sample(fillers, 4))} zorvath {' '.join(r.sample(fillers, 3))} k.v@mail.example.com {' '.join(r.sample(fillers, 3))}"))
+    rows += [(10 + i, " ".join(r.choice(fillers) for _ in range(30))) for i in range(40)]
+    rows += [(100 + i, "copy copyterm x@once.example.com") for i in range(5)]  # copies: one context
+    return rows
+
+
+def test_revealing_terms(documents):
+    rows = planted_terms()
+    out = {r["doc_id"]: r for r in pii.digest(pii.find(documents(rows))).collect()}
+    for i, t in rows[:6]:
+        at = t.index("zorvath")
+        assert f"term:{at}:{at + 7}" in out[i]["spans"] and out[i]["n_term"] == 1
+    assert all(out[i]["n_term"] == 0 for i, _ in rows[6:])
+
+
+def test_redact(documents):
+    rows = planted_terms() + [(500, None), (501, ""), (502, "call +1 (017) 555-7713 or 4111 1111 1111 1111, 10.0.0.1"), (502, "clean tie")]
+    df = documents(rows, extra=True)
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["n_chars"]))
+    assert "zorvath" not in got[0][0][0] and "<TERM>" in got[0][0][0] and "<EMAIL>" in got[0][0][0]
+    assert got[0][0][1] == len(got[0][0][0])
+    assert got[500] == [(None, 0)] and got[501] == [("", 0)]
+    assert sorted(t for t, _ in got[502]) == ["call <PHONE> or <CARD>, <IP>", "clean tie"]
+    clean = dict(rows)
+    assert all(got[10 + i][0][0] == clean[10 + i] for i in range(40))
+
+
+def test_empty_tables(documents, spark):
+    none = documents([(1, "x")]).where("false")
+    assert pii.find(none).count() == 0 and pii.redact(none).count() == 0 and secrets.find(none).count() == 0
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STOP = "This is the text of the page that has many of the words which are in the list and it is as long as the others on it. "
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("", ""),
+        ("<article><h1>Title</h1><p>One &amp; two\n  three<p>Four</article><footer>&copy; x</footer>", "Title\nOne & two three\nFour"),
+        ("<nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><main><p>Body</main>", "Body"),
+        ("<article><p>a<br>b</p><script>var x='</p>'</script><style>p{}</style><aside>ad</aside><section id=comments><p>me too</section></article>", "a\nb"),
+        (f"<div><a href=a>One</a> <a href=b>Two</a></div><p>{STOP}</p><h2>Head</h2><p>{STOP}</p><div class='ad'>{STOP}</div>", f"{STOP.strip()}\nHead\n{STOP.strip()}"),
+        (f"<p>{STOP}</p><p>Short one.</p><p>{STOP}</p><p>{'zzyzx ' * 40}</p><p>Tail.</p>", f"{STOP.strip()}\nShort one.\n{STOP.strip()}"),
+        ("<article><p>1 < 2 &lt;b&gt; <!-- gone --> end", "1 < 2 <b> end"),
+        ("<p", ""),
+        ("<article><form><input value='x'>Name</form><p hidden>no</p><p>yes</p></article>", "yes"),
+    ],
+)
+def test_html(page, want):
+    assert html_blocks.main_text(page) == want
+
+
+def test_extract_whole_table(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(1, None, None), (2, "u", "<article><p>x</p></article>"), (2, "u", "<article><p>x</p></article>")]
+    extra = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as text", "1 as n_chars")
+    got = html_blocks.extract(extra).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
+    html_of = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html_blocks.extract(pages).collect():
+        article = re.search(r"<article>(.*)</article>", html_of[r["page_id"]], re.S)[1]
+        lines = [re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", p)).strip() for p in re.split(r"</?(?:p|h1|br)>", article)]
+        import html
+
+        assert r["text"] == "\n".join(re.sub(r"\s+", " ", html.unescape(x)).strip() for x in lines if x) and r["n_chars"] == len(r["text"])
