@@ -156,7 +156,7 @@ def uds_parse(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, ['SF', 'FF', 'CF', 'FC'][l_partkey % 4 + 1] AS kind,
-  CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 256 + l_suppkey % 256 END AS total_length, CASE WHEN l_partkey % 4 >= 2 THEN 1 END AS sequence,
+  CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 256 + l_suppkey % 256 END AS total_length, CASE WHEN l_partkey % 4 >= 2 THEN 1::BIGINT END AS sequence,
   CASE l_partkey % 4 WHEN 0 THEN printf('%02XAABB', l_suppkey % 256) WHEN 1 THEN 'AABBCC' ELSE printf('%02XAABBCC', l_suppkey % 256) END AS payload_hex FROM lineitem""")
 def isotp_frames(spark, sf):
     p = F.col("l_partkey") % 4
@@ -182,7 +182,7 @@ def _datagrams(spark, sf):
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
-SELECT k AS o_orderkey, 'ip.protocol' AS signal_name, 17.0 AS signal_value, NULL AS signal_str FROM s
+SELECT k AS o_orderkey, 'ip.protocol' AS signal_name, 17.0::DOUBLE AS signal_value, NULL::VARCHAR AS signal_str FROM s
 UNION ALL SELECT k, 'ip.ttl', 64, NULL FROM s UNION ALL SELECT k, 'ip.total_len', 48, NULL FROM s
 UNION ALL SELECT k, 'ip.src', NULL, printf('10.%d.%d.%d', c // 65536 % 256, c // 256 % 256, c % 256) FROM s UNION ALL SELECT k, 'ip.dst', NULL, '192.168.0.1' FROM s
 UNION ALL SELECT k, 'udp.src_port', k % 65536, NULL FROM s UNION ALL SELECT k, 'udp.dst_port', c % 65536, NULL FROM s UNION ALL SELECT k, 'udp.payload_bytes', 20, NULL FROM s""")
@@ -191,7 +191,7 @@ def eth_header_signals(spark, sf):
 
 
 @query("""SELECT o_orderkey, printf('10.%d.%d.%d', o_custkey // 65536 % 256, o_custkey // 256 % 256, o_custkey % 256) AS src_ip, o_orderkey % 65535 AS service, o_custkey % 65535 AS method,
-  12 AS length, o_custkey % 7 AS client, o_orderkey % 11 AS session, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 128 END AS msg_type, printf('%08X', o_orderkey) AS payload_hex FROM orders WHERE o_orderkey % 3 <> 2""")
+  12::BIGINT AS length, o_custkey % 7 AS client, o_orderkey % 11 AS session, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 128 END::BIGINT AS msg_type, printf('%08X', o_orderkey) AS payload_hex FROM orders WHERE o_orderkey % 3 <> 2""")
 def someip_parse(spark, sf):
     m = parse_someip(_datagrams(spark, sf))
     long = {n: F.col(f"someip_{c}").cast("long") for n, c in (("service", "service_id"), ("method", "method_id"), ("length", "length"), ("client", "client_id"), ("session", "session_id"), ("msg_type", "msg_type"))}
@@ -294,8 +294,8 @@ def trace_scaling(spark, sf):
 
 
 @query(f"""WITH {GOLD_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY signal_source, channel, signal_name ORDER BY timestamp_ns, signal_value, signal_str) AS position FROM gold WHERE {KEY_SQL})
-SELECT position, max(CASE WHEN signal_name = 'click' THEN timestamp_s END) AS time, max(CASE WHEN signal_name = 'click' THEN CAST(signal_value AS VARCHAR) END) AS "CAN1::click",
-  max(CASE WHEN signal_name = 'signup' THEN CAST(signal_value AS VARCHAR) END) AS "ETH0::signup", max(CASE WHEN signal_name = 'error' THEN signal_str END) AS "ETH2::error" FROM p GROUP BY position""")
+SELECT position::INT AS position, max(CASE WHEN signal_name = 'click' THEN timestamp_s END) AS time, max(CASE WHEN signal_name = 'click' THEN CAST(signal_value AS VARCHAR) END) AS "CAN1::click",
+  max(CASE WHEN signal_name = 'signup' THEN CAST(signal_value AS VARCHAR) END) AS "ETH0::signup", max(CASE WHEN signal_name = 'error' THEN signal_str END) AS "ETH2::error" FROM p GROUP BY p.position""")
 def pivot_grid(spark, sf):
     return viewer.pivot_grid(gold(spark, sf), KEYS)
 
@@ -485,12 +485,12 @@ def report_label_counts(spark, sf):
     return reports.label_counts(_labels(f, b))
 
 
-@query(f"WITH {GRID_SQL} SELECT _source_file, count(*) AS n_scenes, round(min(seg_end_s - seg_start_s), 3) AS min_duration_s, round(avg(seg_end_s - seg_start_s), 2) AS mean_duration_s, round(max(seg_end_s - seg_start_s), 2) AS max_duration_s, round(min(seg_start_s), 2) AS t_start_s, round(max(seg_end_s), 2) AS t_end_s, 0.0 AS changepoint_pct FROM scene GROUP BY 1")
+@query(f"WITH {GRID_SQL} SELECT _source_file, count(*) AS n_scenes, round(min(seg_end_s - seg_start_s), 3) AS min_duration_s, round(avg(seg_end_s - seg_start_s), 2) AS mean_duration_s, round(max(seg_end_s - seg_start_s), 2) AS max_duration_s, round(min(seg_start_s), 2) AS t_start_s, round(max(seg_end_s), 2) AS t_end_s, 0.0::DOUBLE AS changepoint_pct FROM scene GROUP BY 1")
 def report_segmentation(spark, sf):
     return reports.segmentation_by_file(_grid(spark, sf)[1])
 
 
-@query("SELECT 0 AS gaps, 0 AS overlaps")
+@query("SELECT 0::BIGINT AS gaps, 0::BIGINT AS overlaps")
 def report_tiling(spark, sf):
     return reports.tiling(_grid(spark, sf, PARAMS)[1])
 
@@ -604,7 +604,7 @@ def conditional_pivot(spark, sf):
     return li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"), F.max(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("first_qty"))
 
 
-@query(f"""WITH {GOLD_SQL} SELECT _source_file, signal_name, timestamp_ns, lag(signal_value) OVER w AS prev, lead(timestamp_ns) OVER w AS next_ns, row_number() OVER w AS n, ntile(4) OVER w AS quarter FROM gold WINDOW w AS (PARTITION BY _source_file, signal_name ORDER BY timestamp_ns, signal_value)""")
+@query(f"""WITH {GOLD_SQL} SELECT _source_file, signal_name, timestamp_ns, lag(signal_value) OVER w AS prev, lead(timestamp_ns) OVER w AS next_ns, (row_number() OVER w)::INT AS n, (ntile(4) OVER w)::INT AS quarter FROM gold WINDOW w AS (PARTITION BY _source_file, signal_name ORDER BY timestamp_ns, signal_value)""")
 def window_functions(spark, sf):
     w = Window.partitionBy("_source_file", "signal_name").orderBy("timestamp_ns", "signal_value")
     return gold(spark, sf).select("_source_file", "signal_name", "timestamp_ns", F.lag("signal_value").over(w).alias("prev"), F.lead("timestamp_ns").over(w).alias("next_ns"), F.row_number().over(w).alias("n"), F.ntile(4).over(w).alias("quarter"))
