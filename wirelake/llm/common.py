@@ -55,7 +55,7 @@ class TermCache(dict):
     """term -> 64-bit hash, filled on demand and emptied when it holds ``most``
     terms, so that a worker's memory stays bounded on any corpus."""
 
-    def __init__(self, fn, most: int = 400_000):
+    def __init__(self, fn, most: int = 200_000):
         super().__init__()
         self.fn, self.most = fn, most
 

@@ -13,10 +13,13 @@ Texts with equal words are one node. No group is expanded into its pairs:
 
 1. In each band bucket every node is compared with the bucket's least node;
    verified links give connected components.
-2. What is left are pairs in one bucket but in different components. Only
-   nodes outside a bucket's largest component look for partners; a pair is
+2. What is left are pairs in one bucket but in different components. In small
+   buckets, nodes outside the largest component look for partners; a pair is
    dropped where the distances to the least node, which are exact and obey the
    triangle inequality, or a 128-bit sketch rule out 0.8. The rest is verified.
+   Large buckets are dealt into blocks of bounded size; a task takes two blocks,
+   counts each member's common shingles with all others at once and gives the
+   links only.
 
 Every link between different texts thus ends in one class, with no cap on
 buckets or partners.
@@ -47,7 +50,10 @@ BANDS, PER_BAND = 28, 5
 REGISTERS = BANDS * PER_BAND
 SKETCH_BITS, SKETCH_MOST = 128, 36
 MOST_BROADCAST = 300_000
-GROUP_ELEMENTS, GROUP_DOCS = 1 << 17, 2048
+#: Up to this size a bucket's open pairs are rows; beyond it they are counted in blocks.
+SMALL_BUCKET, BLOCK = 64, 500
+#: A worker holds the shingles of so many documents, and the registers of so many elements.
+SLICE, GROUP_ELEMENTS = 2000, 1 << 17
 
 _WORD = re.compile(r"\w+")
 _cache = TermCache(xxhash.xxh64_intdigest)
@@ -108,17 +114,19 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def node_of(words: list[str]) -> bytes | None:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
+def node_of(words: list[str]) -> int | None:
+    """64 bits of a cryptographic hash: two of 10^9 different texts share a node
+    with a chance of 3 %."""
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if words else None
 
 
 def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, node, keys, s0, s1) for every row; node and the rest
     are null for texts without words."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows = []
             for i, t in enumerate(b.column("t")):
                 words = words_of(t.as_py())
@@ -129,7 +137,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             at = 0
             while at < len(rows):
                 end, load = at, 0
-                while end < len(rows) and end - at < GROUP_DOCS and (end == at or load + rows[end][0] <= GROUP_ELEMENTS):
+                while end < len(rows) and (end == at or load + rows[end][0] <= GROUP_ELEMENTS):
                     load += rows[end][0]
                     end += 1
                 group = rows[at:end]
@@ -142,10 +150,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                     keys += list(bands(sig))
                     s += sketch(sig).tolist()
                 take = pa.array([r[1] for r in group])
-                yield pa.RecordBatch.from_arrays([ids.take(take), keys_of.take(take), pa.array([r[2] for r in group], pa.binary()), pa.array(keys, arrow.field("keys").type), *(pa.array(x, pa.int64()) for x in zip(*s))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys_of.take(take), pa.array([r[2] for r in group], pa.int64()), pa.array(keys, arrow.field("keys").type), *(pa.array(x, pa.int64()) for x in zip(*s))], schema=arrow)
 
     picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("t")).withColumn("text_key", F.xxhash64("t"))
-    return picked.mapInArrow(run, "doc_id long, text_key long, node binary, keys array<long>, s0 long, s1 long")
+    return picked.mapInArrow(run, "doc_id long, text_key long, node long, keys array<long>, s0 long, s1 long")
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,9 +167,9 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataF
     def run(batches):
         for b in batches:
             rows = [(node_of(w), np.unique(shingles(w)).tobytes()) for t in b.column(0) if (w := words_of(t.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
-    found = known.unionByName(texts.where("doc_id is null")).select("t").mapInArrow(run, "node binary, shingles binary")
+    found = known.unionByName(texts.where("doc_id is null")).select("t").mapInArrow(run, "node long, shingles binary")
     return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -179,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,20 +224,28 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
     sets = _shingle_sets(docs, nodes, wanted)
     first = stored(_verified(pairs, sets))
     linked = first.where(F.col("similarity") >= similarity).select("a", "b")
-    rest = _across(members, nodes, first, components(linked), similarity)
+    open_ = _open_members(members, stored(components(linked)))
+    rest = _across(open_.where(F.col("n") <= SMALL_BUCKET), nodes, first, similarity)
     more = stored(_verified(rest, sets).where(F.col("similarity") >= similarity).select("a", "b"))
-    return linked.unionByName(more)
+    large = stored(_within_blocks(open_.where(F.col("n") > SMALL_BUCKET), sets, similarity))
+    return linked.unionByName(more).unionByName(large)
 
 
-def _across(members: DataFrame, nodes: DataFrame, first: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs in one bucket, in different components, that may still be similar."""
+def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, n, node, comp, major, least): members, except the least ones, of
+    buckets that hold several components; major is the bucket's largest."""
     comps = comps.withColumnRenamed("node", "cnode")
     large = members.where("n > 2")  # in buckets of two the only pair is known
-    inside = stored(large.join(comps, large.node == comps.cnode, "left").select("key", "node", "least", F.coalesce("comp", "node").alias("comp")))
+    inside = stored(large.join(comps, large.node == comps.cnode, "left").select("key", "n", "node", "least", F.coalesce("comp", "node").alias("comp")))
     sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1").select("key", F.col("top.comp").alias("major"))
+    return stored(inside.join(mixed, "key").where("node <> least"))
+
+
+def _across(open_: DataFrame, nodes: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs in one small bucket, in different components, that may be similar."""
     far = first.select(F.col("a").alias("node"), F.col("b").alias("least"), (1 - F.col("similarity")).alias("d"))
-    open_ = inside.join(mixed, "key").where("node <> least").join(far, ["node", "least"]).join(nodes.select("node", "s0", "s1"), "node")
+    open_ = open_.join(far, ["node", "least"]).join(nodes.select("node", "s0", "s1"), "node")
     open_ = stored(open_.select("key", "node", "comp", "major", "d", "s0", "s1"))
     minor = open_.where("comp <> major").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("comp").alias("acomp"), F.col("d").alias("ad"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     differ: Column = F.bit_count(F.col("s0").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a1")))
@@ -239,6 +255,48 @@ def _across(members: DataFrame, nodes: DataFrame, first: DataFrame, comps: DataF
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
+def similar_rows(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of different components (and, with ``side``, of different
+    sides) whose Jaccard similarity reaches the bound. Each set is counted against
+    all others at once, through the lists of sets that hold its elements."""
+    size = np.array([len(s) for s in sets])
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), size)
+    by_element = holder[np.argsort(element, kind="stable")]
+    count = np.bincount(element)
+    start = np.cumsum(count) - count
+    ends = np.cumsum(size)
+    out = []
+    for i in range(len(sets)):
+        own = element[ends[i] - size[i] : ends[i]]
+        lengths = count[own]
+        at = np.repeat(start[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(by_element[at], minlength=len(sets))
+        hit = (both >= similarity * (size + size[i] - both) - 1e-9) & (comp != comp[i])
+        hit[: i + 1] = False
+        if side is not None:
+            hit &= side != side[i]
+        out += [(i, j) for j in np.flatnonzero(hit).tolist()]
+    return out
+
+
+def _within_blocks(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) inside large buckets. A bucket's members are dealt into blocks
+    of bounded size and each pair of blocks is one group, so neither a task nor
+    the plan ever holds a bucket's pairs; only links leave a group."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "key"), blocks).cast("int")})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(table):
+        node = table["node"].to_numpy()
+        found = similar_rows([np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]], table["comp"].to_numpy(), table["block"].to_numpy() if table["i"][0] != table["j"][0] else None, similarity)
+        return pa.table({"a": pa.array([min(node[i], node[j]) for i, j in found], pa.int64()), "b": pa.array([max(node[i], node[j]) for i, j in found], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, text_key (xxhash64 of its text), class_id (the largest
     doc_id of its class), class_size and kept."""
