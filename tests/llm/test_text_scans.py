@@ -106,7 +106,7 @@ def test_entropy_spans_and_allow_list(documents):
 
 
 def planted_terms():
-    rows, fillers = [], ["river", "table", "window", "garden", "letter", "music", "paper", "stone"]
+    rows, fillers = [], [f"{a}{b}{c}" for a in ("ri", "ta", "wi", "ga", "le") for b in ("ver", "ble", "ndo") for c in ("n", "st", "m", "que")]
     r = random.Random(5)
     for i in range(6):  # one person's address in six contexts, always near a rare name
         rows.append((i, f"{' '.join(r.sample(fillers, 4))} zorvath {' '.join(r.sample(fillers, 3))} k.v@mail.example.com {' '.join(r.sample(fillers, 3))}"))

@@ -8,13 +8,14 @@ term's disclosure is its pointwise mutual information with the entity over the
 entity's own information, log(N n_te / (n_t n_e)) / log(N / n_e): 1 when the
 term never occurs without the entity. Terms at or above ``DISCLOSURE`` are
 protected in every document that holds the entity, as spans of kind ``term``.
-Copies of a passage are one context, so they are no evidence of their own.
+Contexts are told apart by their least hashed word, so copies of a passage,
+edited ones mostly too, are one context and no evidence of their own.
 
 ``redact`` generalises base values to their kind and replaces revealing terms.
 
 The counting is skipped where no entity has the support. No text is shuffled
-for the counts: contexts are taken where the text is read, and candidate terms
-are broadcast to the documents below a checked size, joined beyond it.
+for it: contexts are taken where the text is read, and terms are counted there
+before they move.
 
 Cases: null texts equal empty ones and have no spans. Repeated rows and ties
 count as often as they occur (their contexts once). Empty tables give no rows;
@@ -32,8 +33,9 @@ from .spans import described, replaced, with_spans
 
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
+#: Documents with revealing terms are broadcast up to this many, joined beyond it.
+MOST_BROADCAST = 100_000
 WINDOW = 80
-MOST_TERMS = 200_000
 
 _DIGITS = "regexp_replace($v, '[^0-9]', '')"
 _PART = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -77,13 +79,14 @@ def disclosed(docs: DataFrame, base: DataFrame, min_support: int = MIN_SUPPORT,
     entities = stored(contexts.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("n_ctx")).where(F.col("n_ctx") >= min_support))
     if entities.isEmpty():
         return None
-    words = seen.join(entities.select("entity"), "entity", "left_semi").select("entity", "context", F.explode("words").alias("term"))
+    # around a term, contexts are told apart by their least word: edited copies mostly share it
+    around = F.expr("transform(words, w -> named_struct('term', w, 'context', array_min(transform(filter(words, x -> x <> w), x -> xxhash64(x)))))")
+    words = seen.join(entities.select("entity"), "entity", "left_semi").select("entity", F.inline(around))
     together = words.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     together = stored(together.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_ctx")).where(F.col("n_ctx") >= min_support).drop("n_ctx"))
     terms = stored(together.select("term").distinct())
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))).alias("term"))
-    n_t = every.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     total = docs.agg(F.count("*").alias("n_all"))
     counted = together.join(entities.drop("n_ctx"), "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # one row
     # an entity in every document carries no information that a term could reveal
@@ -91,6 +94,10 @@ def disclosed(docs: DataFrame, base: DataFrame, min_support: int = MIN_SUPPORT,
     return stored(counted.where(ratio >= disclosure).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def _with_terms(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text_key, term): spans of revealing terms, outside base spans,
     one row per document and text that has any."""
@@ -99,6 +106,7 @@ def _with_terms(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame
     taken = base.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), F.concat(*KINDS).alias("base")).dropDuplicates(["i", "k"])
     by_row = by_row.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "terms", "base")
     texts = docs.select("doc_id", text_or_empty().alias("__t")).withColumn("text_key", F.xxhash64("__t"))
+    by_row = _small(stored(by_row))
     rows = texts.join(by_row, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
     # words with their positions; longer terms need no precedence, words are whole
     rows = with_spans(rows, "words", "__t", r"\p{L}++", "true", "array_contains(terms, lower($v))")
@@ -129,7 +137,7 @@ def redact(docs: DataFrame) -> DataFrame:
     if found is not None and not found.isEmpty():
         extra = stored(_with_terms(docs.select("doc_id", "text"), base, found)).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), F.col("term").alias("__term"))
         rows = rows.withColumn("__h", F.xxhash64("__t"))
-        rows = rows.join(extra, rows["doc_id"].eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
+        rows = rows.join(_small(extra), rows["doc_id"].eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
     else:
         rows = rows.withColumn("__term", F.slice("email", 1, 0))
     marks = ", ".join(f"transform(coalesce({c}, {KIND_NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k, c in [*((k, k) for k in KINDS), ("term", "__term")])
