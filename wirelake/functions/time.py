@@ -28,24 +28,24 @@ def iso_ns(ns) -> Column:
     return F.concat(F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(n, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("Z"))
 
 
-_SPAN = re.compile(r"last\s+([0-9.]+)\s*(s|sec|secs|seconds?|m|min|mins|minutes?|h|hours?)\b", re.I)
-_RANGE = re.compile(r"([0-9.]+)\s*s(?:ec(?:onds?)?)?\s*(?:to|-|until)\s*([0-9.]+)\s*s", re.I)
-_CLOCK = re.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(?:to|-|until)\s*(\d{1,2}):(\d{2})(?::(\d{2}))?", re.I)
+_LAST = re.compile(r"last\s+([0-9.]+)\s*(sec|min)", re.I)
+_BETWEEN = re.compile(r"([0-9]+(?:\.[0-9]+)?)\s*s(?:ec(?:ond)?s?)?\s+(?:to|and|-|--)\s+([0-9]+(?:\.[0-9]+)?)\s*s", re.I)
+_CLOCK = re.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(?:to|-|--)\s*(\d{1,2}):(\d{2})(?::(\d{2}))?")
 
 
 def parse_time_range(text: str, t_min: float, t_max: float, t0_seconds_of_day: float | None = None) -> tuple[float, float] | None:
-    """"last 30 sec", "50s to 100s" and "10:00 to 10:05:30" as seconds of the
-    recording; None where the text names no range."""
-    if m := _RANGE.search(text):
-        a, b = float(m[1]), float(m[2])
-        return (a, b) if a < b else None
-    if m := _SPAN.search(text):
-        unit = {"m": 60.0, "h": 3600.0}.get(m[2][0].lower(), 1.0)
-        return max(t_min, t_max - float(m[1]) * unit), t_max
-    if (m := _CLOCK.search(text)) and t0_seconds_of_day is not None:
-        a, b = (int(m[i]) * 3600 + int(m[i + 1]) * 60 + int(m[i + 2] or 0) - t0_seconds_of_day for i in (1, 4))
-        return (a, b) if a < b else None
-    return None
+    """"last 30 sec", "50s to 100s" (from the recording's start) and "10:00 to
+    10:05:30" (wall clock, where its start is known) within the recording's
+    bounds; None where the text names no range."""
+    if m := _LAST.search(text):
+        return max(t_min, t_max - float(m[1]) * (60.0 if m[2].lower() == "min" else 1.0)), t_max
+    if m := _BETWEEN.search(text):
+        ends = float(m[1]), float(m[2])
+    elif (m := _CLOCK.search(text)) and t0_seconds_of_day is not None:
+        ends = tuple(int(m[i]) * 3600 + int(m[i + 1]) * 60 + int(m[i + 2] or 0) - t0_seconds_of_day for i in (1, 4))
+    else:
+        return None
+    return max(t_min, t_min + ends[0]), min(t_max, t_min + ends[1])
 
 
 def axis_marks(t_min: float, t_max: float, most: int = 10) -> list[tuple[float, str]]:

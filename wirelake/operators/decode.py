@@ -101,11 +101,12 @@ def enum_names(enums: DataFrame | None) -> dict[str, dict[int, str]]:
 def stacked(column: pa.Array, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Payloads of ``rows`` as a zero-padded byte matrix, and their lengths."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(1, np.uint8)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(1, np.uint8)
     start, length = offsets[rows], offsets[rows + 1] - offsets[rows]
     at = start[:, None] + np.arange(width)
     inside = np.arange(width) < length[:, None]
-    return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8), length
+    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8), length
 
 
 def _key_groups(b: pa.RecordBatch, keys: list[str], plan: dict) -> Iterator[tuple[list[Signal], np.ndarray]]:

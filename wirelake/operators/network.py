@@ -90,65 +90,70 @@ def headers(data: pa.Array, ether_type: np.ndarray) -> Headers:
     )
 
 
+def signal_rows(b: pa.RecordBatch, kept: list[str]) -> pa.RecordBatch:
+    """The header fields of a batch's frames as signals, beside ``kept`` columns."""
+    h = headers(b.column("data"), b.column("ether_type").to_numpy(zero_copy_only=False))
+    index, names, values, texts = [], [], [], []
+
+    def number(where: np.ndarray, name: str, value: np.ndarray) -> None:
+        rows = np.flatnonzero(where)
+        index.append(rows)
+        names.append((name, len(rows)))
+        values.append(pa.array(value[rows].astype(np.float64)))
+        texts.append(pa.nulls(len(rows), pa.string()))
+
+    def text(where: np.ndarray, name: str, value) -> None:
+        rows = np.flatnonzero(where)
+        index.append(rows)
+        names.append((name, len(rows)))
+        values.append(pa.nulls(len(rows), pa.float64()))
+        texts.append(pa.array([value(r) for r in rows.tolist()], pa.string()))
+
+    def dotted(at: int):
+        return lambda r: ".".join(map(str, h.bytes[r, at : at + 4]))
+
+    m = h.bytes
+    arp = (b.column("ether_type").to_numpy(zero_copy_only=False) == ARP) & (h.length >= 28) & (h.u16(0) == 1) & (h.u16(2) == IPV4) & (m[:, 4] == 6) & (m[:, 5] == 4)
+    op = h.u16(6)
+    number(arp, "arp.op", op)
+    text(arp, "arp.op_name", lambda r: ARP_OPS.get(int(op[r]), "Other"))
+    text(arp, "arp.sender_ip", dotted(14))
+    text(arp, "arp.target_ip", dotted(24))
+    four, six = h.version == 4, h.version == 6
+    number(four | six, "ip.protocol", h.protocol)
+    number(four, "ip.ttl", h.ttl)
+    number(six, "ip.hop_limit", h.ttl)
+    number(four, "ip.total_len", h.total)
+    text(four | six, "ip.src", lambda r: h.address(r, True))
+    text(four | six, "ip.dst", lambda r: h.address(r, False))
+    for kind, name in ((TCP, "tcp"), (UDP, "udp")):
+        number(h.kind == kind, f"{name}.src_port", h.src_port)
+        number(h.kind == kind, f"{name}.dst_port", h.dst_port)
+    number(h.kind == TCP, "tcp.flags", h.flags)
+    number(h.kind == UDP, "udp.payload_bytes", h.size)
+    igmp = four & (h.protocol == IGMP) & (h.packet_size >= 8)
+    code = _u8(m, h.packet_at)
+    number(igmp, "igmp.type", code)
+    text(igmp, "igmp.type_name", lambda r: IGMP_TYPES.get(int(code[r]), "Other"))
+    text(igmp, "igmp.group", lambda r: ".".join(map(str, m[r, h.packet_at[r] + 4 : h.packet_at[r] + 8])))
+    number(igmp, "igmp.max_resp_time", _u8(m, h.packet_at + 1))
+    at = np.concatenate(index)
+    order = np.argsort(at, kind="stable")  # frame by frame
+    label = np.repeat(np.arange(len(names)), [n for _, n in names])[order].astype(np.int32)
+    take = pa.array(order)
+    return pa.RecordBatch.from_arrays(
+        [*(b.column(c).take(pa.array(at[order])) for c in kept), pa.DictionaryArray.from_arrays(pa.array(label), pa.array([x for x, _ in names])).cast(pa.string()), pa.concat_arrays(values).take(take), pa.concat_arrays(texts).take(take)],
+        names=[*kept, "signal_name", "signal_value", "signal_str"],
+    )
+
+
 def eth_signals(eth: DataFrame, drop: tuple[str, ...] = ("data",)) -> DataFrame:
     """One row per header field: signal_name, signal_value, signal_str."""
     kept = [c for c in eth.columns if c not in drop]
 
     def run(batches):
         for b in batches:
-            h = headers(b.column("data"), b.column("ether_type").to_numpy(zero_copy_only=False))
-            index, names, values, texts = [], [], [], []
-
-            def number(where: np.ndarray, name: str, value: np.ndarray) -> None:
-                rows = np.flatnonzero(where)
-                index.append(rows)
-                names.append((name, len(rows)))
-                values.append(pa.array(value[rows].astype(np.float64)))
-                texts.append(pa.nulls(len(rows), pa.string()))
-
-            def text(where: np.ndarray, name: str, value) -> None:
-                rows = np.flatnonzero(where)
-                index.append(rows)
-                names.append((name, len(rows)))
-                values.append(pa.nulls(len(rows), pa.float64()))
-                texts.append(pa.array([value(r) for r in rows.tolist()], pa.string()))
-
-            def dotted(at: int):
-                return lambda r: ".".join(map(str, h.bytes[r, at : at + 4]))
-
-            m = h.bytes
-            arp = (b.column("ether_type").to_numpy(zero_copy_only=False) == ARP) & (h.length >= 28) & (h.u16(0) == 1) & (h.u16(2) == IPV4) & (m[:, 4] == 6) & (m[:, 5] == 4)
-            op = h.u16(6)
-            number(arp, "arp.op", op)
-            text(arp, "arp.op_name", lambda r: ARP_OPS.get(int(op[r]), "Other"))
-            text(arp, "arp.sender_ip", dotted(14))
-            text(arp, "arp.target_ip", dotted(24))
-            four, six = h.version == 4, h.version == 6
-            number(four | six, "ip.protocol", h.protocol)
-            number(four, "ip.ttl", h.ttl)
-            number(six, "ip.hop_limit", h.ttl)
-            number(four, "ip.total_len", h.total)
-            text(four | six, "ip.src", lambda r: h.address(r, True))
-            text(four | six, "ip.dst", lambda r: h.address(r, False))
-            for kind, name in ((TCP, "tcp"), (UDP, "udp")):
-                number(h.kind == kind, f"{name}.src_port", h.src_port)
-                number(h.kind == kind, f"{name}.dst_port", h.dst_port)
-            number(h.kind == TCP, "tcp.flags", h.flags)
-            number(h.kind == UDP, "udp.payload_bytes", h.size)
-            igmp = four & (h.protocol == IGMP) & (h.packet_size >= 8)
-            code = _u8(m, h.packet_at)
-            number(igmp, "igmp.type", code)
-            text(igmp, "igmp.type_name", lambda r: IGMP_TYPES.get(int(code[r]), "Other"))
-            text(igmp, "igmp.group", lambda r: ".".join(map(str, m[r, h.packet_at[r] + 4 : h.packet_at[r] + 8])))
-            number(igmp, "igmp.max_resp_time", _u8(m, h.packet_at + 1))
-            at = np.concatenate(index)
-            order = np.argsort(at, kind="stable")  # frame by frame
-            label = np.repeat(np.arange(len(names)), [n for _, n in names])[order].astype(np.int32)
-            take = pa.array(order)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(at[order])) for c in kept), pa.DictionaryArray.from_arrays(pa.array(label), pa.array([x for x, _ in names])).cast(pa.string()), pa.concat_arrays(values).take(take), pa.concat_arrays(texts).take(take)],
-                names=[*kept, "signal_name", "signal_value", "signal_str"],
-            )
+            yield signal_rows(b, kept)
 
     parsed = eth.where(F.col("data").isNotNull() & F.col("ether_type").isin(IPV4, IPV6, ARP))
     return parsed.mapInArrow(run, f"{_spark_type(eth, kept)}, signal_name string, signal_value double, signal_str string")
