@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import crc32_u32, text_or_empty
 
 SPACE = "▁"
-MOST_CACHED = 250_000
+MOST_CACHED = 150_000
 INDEX_CHARS = 400_000
 LONG = 40
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -102,6 +102,7 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.control = {i for i in range(n) if model.is_control(i)}
+        self.special = np.array([i in self.control or i in self.byte_of for i in range(n)])
         self.normal = np.array([i for i in range(n) if not special[i]])
         self.rank = np.unique([-model.get_score(i) for i in range(n)], return_inverse=True)[1].astype(np.int32)
         self.lengths = np.array([len(self.pieces[i]) for i in self.normal])
@@ -111,6 +112,7 @@ class Codec:
         # segments are independent unless a piece holds a space after other characters
         self.by_segment = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in self.normal)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before: what is still used moves on
         self.shown = [" " * len(p) if set(p) == {SPACE} else p.replace(SPACE, " ") for p in self.pieces]
 
     def segments(self, text: str) -> list[str]:
@@ -225,9 +227,15 @@ class Codec:
     def learn(self, segments) -> None:
         """Encodes unknown segments, ``INDEX_CHARS`` characters an index."""
         if len(self.known) > MOST_CACHED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         batch, load = [], 0
         for s in segments:
+            if s in known:
+                continue
+            if (held := older.get(s)) is not None:
+                known[s] = held
+                continue
             batch.append(s)
             load += len(s)
             if load >= INDEX_CHARS:
@@ -252,18 +260,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.segments(t) for t in texts]
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        fresh = dict.fromkeys(s for c in cut for s in c)
-        self.learn([s for s in fresh if s not in self.known])
-        return [np.frombuffer(b"".join([self.known[s] for s in c]), "<u2") for c in cut]
+        self.learn(dict.fromkeys(s for c in cut for s in c))
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, c)), "<u2") for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
         shown = self.shown
-        if not self.byte_of or not ((ids >= min(self.byte_of)) & (ids <= max(self.byte_of))).any():
-            text = "".join([shown[i] for i in ids.tolist() if i not in self.control])
+        if not self.special[ids].any():
+            text = "".join(map(shown.__getitem__, ids.tolist()))
         else:
             parts, run = [], bytearray()
             for i in ids.tolist():
