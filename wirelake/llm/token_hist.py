@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 from .tokens import default_tokenizer, encode
 
 BLOCK = 1024
@@ -44,6 +44,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     documents of length >= L, and ``tokens_cut``, the total when all documents
     are cut at L; ``share_below`` is the share of documents shorter than L."""
     block = F.expr(f"n_tokens div {BLOCK}")
+    hist = stored(hist)  # both levels read it; the texts are encoded once
     h = hist.select(block.alias("block"), "n_tokens", "n_docs", (F.col("n_docs") * F.col("n_tokens")).alias("n_total"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
