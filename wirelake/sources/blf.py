@@ -34,7 +34,7 @@ VLAN_TPIDS = (0x8100, 0x8800, 0x88A8, 0x9100)
 NAMES = {CAN_MESSAGE: "CAN", CAN_MESSAGE2: "CAN", CAN_FD: "CAN_FD", CAN_FD64: "CAN_FD64", ETHERNET: "ETH", ETHERNET_EX: "ETH_EX"}
 TYPES = ("CAN", "CAN_FD", "CAN_FD64", "ETH", "ETH_EX", "MF4_SIGNAL", "OTHER")
 
-BATCH_ROWS = 50_000
+BATCH_ROWS, CHUNK_BYTES = 100_000, 4 << 20
 
 
 class BlfError(ValueError):
@@ -134,17 +134,40 @@ def container(f, offset: int) -> bytes:
     return out
 
 
-def walk(buf: bytes) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(offset, version, size, code) of the complete objects, and the offset of
-    the first incomplete one."""
+def walk(buf: bytes) -> tuple[np.ndarray, int]:
+    """(offset, version, size, code) rows of the complete objects, and the offset
+    of the first incomplete one. Objects mostly follow each other wherever their
+    magic occurs, which is checked for all at once; payloads that hold the magic
+    are walked object by object."""
+    raw, n = np.frombuffer(buf, np.uint8), len(buf)
+    at = np.flatnonzero(raw[: max(0, n - 15)] == 0x4C)
+    for k, c in enumerate(b"OBJ", 1):
+        at = at[raw[at + k] == c]
+    if not len(at) or at[0] != 0:
+        return _walk_each(buf)
+    head = raw[at[:, None] + np.arange(4, 16)]
+    version = head[:, 2:4].copy().view("<u2")[:, 0].astype(np.int64)
+    size, kind = (head[:, i : i + 4].copy().view("<u4")[:, 0].astype(np.int64) for i in (4, 8))
+    end = at + size + np.where(np.isin(kind, _PADDED), size % 4, 0)
+    if (size < 16).any() or (end[:-1] != at[1:]).any():
+        return _walk_each(buf)
+    done = int((end <= n).sum())
+    stop = int(end[done - 1]) if done else 0
+    if done == len(at) and n - stop >= 4 and buf[stop : stop + 4] != b"LOBJ":
+        raise BlfError("object header expected")
+    return np.stack([at, version, size, kind], axis=1)[:done], stop
+
+
+_PADDED = np.array(sorted(PADDED))
+
+
+def _walk_each(buf: bytes) -> tuple[np.ndarray, int]:
     found, at, n = [], 0, len(buf)
     unpack = OBJECT_HEADER.unpack_from
     while at + 16 <= n:
         magic, _, version, size, kind = unpack(buf, at)
         if magic != b"LOBJ":
-            if at + 4 <= n:
-                raise BlfError("object header expected")
-            break
+            raise BlfError("object header expected")
         if size < 16:
             raise BlfError(f"object of {size} bytes")
         end = at + size + (size % 4 if kind in PADDED else 0)
@@ -152,7 +175,7 @@ def walk(buf: bytes) -> tuple[list[tuple[int, int, int, int]], int]:
             break
         found.append((at, version, size, kind))
         at = end
-    return found, at
+    return np.array(found, np.int64).reshape(-1, 4), at
 
 
 class _Columns:
@@ -198,14 +221,14 @@ class _Columns:
         return pa.array(v, mask=~self.given[name])
 
 
-def decode(buf: bytes, found: list[tuple[int, int, int, int]], wanted: frozenset[str] | None = None) -> pa.RecordBatch:
+def decode(buf: bytes, found: np.ndarray, wanted: frozenset[str] | None = None) -> pa.RecordBatch:
     """The log columns of the objects at ``found``."""
     if wanted is not None:
-        found = [x for x in found if NAMES.get(x[3], "OTHER") in wanted]
+        codes = [c for c, name in NAMES.items() if name in wanted]
+        found = found[np.isin(found[:, 3], codes) | (~np.isin(found[:, 3], list(NAMES)) if "OTHER" in wanted else False)]
     n = len(found)
     raw = np.frombuffer(buf, np.uint8)
-    objects = np.array(found, np.int64).reshape(n, 4)
-    at, version, size, kind = objects.T
+    at, version, size, kind = found.T
     c = _Columns(raw, n)
 
     def number(where: np.ndarray, offset, dtype: str) -> np.ndarray:
@@ -284,40 +307,53 @@ def decode(buf: bytes, found: list[tuple[int, int, int, int]], wanted: frozenset
     return pa.RecordBatch.from_arrays(columns, names(LOG_COLUMNS))
 
 
-def objects_of(f, offsets: list[int], further: list[int] = (), first: bool = True) -> Iterator[tuple[bytes, list]]:
-    """(bytes, objects) of the containers at ``offsets``, a few at a time. What
-    an object lacks at the end is read from ``further`` containers; with
+def objects_of(f, offsets: list[int], further: list[int] = (), first: bool = True) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(bytes, objects) of the containers at ``offsets``, some megabytes at a time.
+    What an object lacks at the end is read from ``further`` containers; with
     ``first`` False the bytes before the first object belong to the slice before."""
-    rest, skip = b"", not first
-    for i, offset in enumerate([*offsets, *further]):
-        late = i >= len(offsets)
-        if late and not rest:
-            return
-        rest += container(f, offset)
+    rest, skip, at = b"", not first, 0
+    while at < len(offsets):
+        parts = [rest]
+        load = len(rest)
+        while at < len(offsets) and load < CHUNK_BYTES:
+            parts.append(container(f, offsets[at]))
+            load += len(parts[-1])
+            at += 1
+        rest = b"".join(parts)
         if skip:
-            start = rest.find(b"LOBJ")
-            while start >= 0:  # a chance match breaks the chain of headers
-                try:
-                    walk(rest[start:])
-                    break
-                except BlfError:
-                    start = rest.find(b"LOBJ", start + 1)
+            start = _first_object(rest)
             if start < 0:
                 continue
             rest, skip = rest[start:], False
         found, end = walk(rest)
-        if late:
-            found = found[:1]
-        if found:
+        if len(found):
             yield rest, found
-        if late and found:
-            return
         rest = rest[end:]
+    for offset in further:
+        if not rest or skip:
+            return
+        rest += container(f, offset)
+        found, end = walk(rest)
+        if len(found):
+            yield rest, found[:1]
+            return
     if rest and not skip:
         raise BlfError("the last object is cut off")
 
 
-def read_batches(path: str, wanted: frozenset[str] | None = None, offsets: list[int] | None = None, further: list[int] = (), first: bool = True, batch_rows: int = BATCH_ROWS) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _first_object(buf: bytes) -> int:
+    """Where the chain of object headers starts; a chance match breaks it."""
+    start = buf.find(b"LOBJ")
+    while start >= 0:
+        try:
+            walk(buf[start:])
+            return start
+        except BlfError:
+            start = buf.find(b"LOBJ", start + 1)
+    return -1
+
+
+def read_batches(path: str, wanted: frozenset[str] | None = None, offsets: list[int] | None = None, further: list[int] = (), first: bool = True) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(start_ns, columns) of a file, or of a slice of its containers."""
     with open_file(path) as f:
         header, found_offsets = scan_containers(f)
@@ -327,20 +363,12 @@ def read_batches(path: str, wanted: frozenset[str] | None = None, offsets: list[
             found, end = walk(buf)
             if end < len(buf):
                 raise BlfError("the last object is cut off")
-            parts = ((buf, found[i : i + batch_rows]) for i in range(0, len(found), batch_rows))
+            parts = [(buf, found)]
         else:
             parts = objects_of(f, found_offsets if offsets is None else offsets, further, first)
-        # join containers until a batch is full
-        held, rows, base = [], [], 0
         for buf, found in parts:
-            held.append(buf)
-            rows += [(at + base, *x) for at, *x in found]
-            base += len(buf)
-            if len(rows) >= batch_rows:
-                yield header.start_ns, decode(b"".join(held), rows, wanted)
-                held, rows, base = [], [], 0
-        if rows:
-            yield header.start_ns, decode(b"".join(held), rows, wanted)
+            for at in range(0, len(found), BATCH_ROWS):
+                yield header.start_ns, decode(buf, found[at : at + BATCH_ROWS], wanted)
 
 
 @dataclass
@@ -388,7 +416,7 @@ def with_file(b: pa.RecordBatch, path: str, start_ns: int, row: int, absolute: b
     columns = b.columns
     if absolute:
         columns = [pa.array(columns[0].to_numpy() + start_ns), *columns[1:]]
-    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.full(n, start_ns, np.int64)), pa.array(np.arange(row, row + n, dtype=np.int64)), *columns], names(SOURCE_ROWS))
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path, pa.string()), n), pa.array(np.full(n, start_ns, np.int64)), pa.array(np.arange(row, row + n, dtype=np.int64)), *columns], names(SOURCE_ROWS))
 
 
 def expand(path: str, suffixes: tuple[str, ...]) -> list[str]:
