@@ -249,3 +249,27 @@ def test_documents(spark, tmp_path):
     (tmp_path / "in" / "d.docx").write_bytes(DOCX)
     again = documents.with_section_id(documents.sections(documents.scan(spark, str(tmp_path / "in"))))
     assert documents.merge_sections(again, target) == 1
+
+
+def test_parameters_from_the_session(spark):
+    spark.conf.set("wirelake.scene.window_s", "5.0")
+    spark.conf.set("wirelake.scene.sources", "CAN, ETH")
+    spark.conf.set("wirelake.scene.weights", "1,1,2")
+    spark.conf.set("wirelake.scene.k", "3")
+    try:
+        p = scenes.params_from_conf(spark)
+        assert (p.window_s, p.sources, p.weights, p.k, p.seed) == (5.0, ("CAN", "ETH"), (0.25, 0.25, 0.5), 3, 42)
+    finally:
+        for f in ("window_s", "sources", "weights", "k"):
+            spark.conf.unset(f"wirelake.scene.{f}")
+
+
+def test_layouts_and_bound_parameters(spark, tmp_path):
+    from wirelake.plans import tables
+
+    gold = drive(spark)
+    tables.write_table("gold_signals", gold, str(tmp_path / "g"))
+    tables.write_table("unknown", gold, str(tmp_path / "u"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == spark.read.parquet(str(tmp_path / "u")).count() == gold.count()
+    assert {p.name for p in (tmp_path / "g").iterdir() if p.is_dir()} == {"signal_source=CAN", "signal_source=ETH"}
+    assert viewer.sql(spark, "select ? + ? as x", [1, 2]).first()["x"] == 3

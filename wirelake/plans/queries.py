@@ -614,3 +614,175 @@ def window_functions(spark, sf):
 def source_filter(spark, sf):
     g = gold(spark, sf).where(F.col("signal_source").isin("CAN", "ETH"))
     return g.groupBy("signal_source").agg(F.round(F.min(seconds()), 6).alias("first_s"), F.count(F.lit(1)).alias("n"))
+
+
+# ── more protocol and table queries ─────────────────────────────────────────
+
+
+def _conversations(spark, sf):
+    """Line items as ISO-TP: per order a first frame of 9 bytes and its
+    consecutive frame, out of sequence for every fifth order; single frames for
+    even part keys."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+
+    def h(value, digits):
+        return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+    first = F.concat(F.lit("100962F1"), h(k % 65536, 4), F.lit("AABB"))
+    second = F.concat(F.when(k % 5 == 0, "22").otherwise("21"), h(p % 65536, 4), F.lit("CC0000000000"))
+    single = F.concat(F.lit("0322"), h(p % 65536, 4), F.lit("00000000"))
+    frames = F.array(
+        F.struct(F.lit(0).alias("step"), F.lit(0x7E8).alias("can_id"), F.unhex(first).alias("data")),
+        F.struct(F.lit(1).alias("step"), F.lit(0x7E8).alias("can_id"), F.unhex(second).alias("data")),
+        F.struct(F.lit(2).alias("step"), F.when(p % 2 == 0, 0x7E0).otherwise(0x100).alias("can_id"), F.unhex(single).alias("data")),
+    )
+    rows = li.select(k, F.concat(F.lit("f"), (k % 4).cast("string")).alias("_source_file"), F.col("l_suppkey").cast("int").alias("channel"), F.inline(frames))
+    return rows.select("_source_file", F.lit(1).cast("long").alias("start_ns"), (k * 10 + F.col("step")).alias("row_in_file"), (k * 1000 + F.col("step")).alias("timestamp_ns"), F.lit("CAN").alias("message_type"), "channel", F.col("can_id").cast("long").alias("can_id"), F.lit(1).cast("byte").alias("dir"), "data", F.lit(None).cast("int").alias("ether_type"))
+
+
+CONVERSATION_SQL = """c AS (SELECT l_orderkey AS k, min(l_partkey) AS p, min(l_suppkey) AS channel FROM lineitem GROUP BY 1),
+uds AS (SELECT 'f' || (k % 4) AS _source_file, CAST(channel AS INT) AS channel, 2024::BIGINT AS can_id, k * 1000 AS timestamp_ns, 'PositiveResponse' AS uds_type, 'F1' || printf('%04X', k % 65536) || 'AABB' || printf('%04X', p % 65536) || 'CC' AS data_hex FROM c WHERE k % 5 <> 0
+  UNION ALL SELECT 'f' || (k % 4), CAST(channel AS INT), 2016, k * 1000 + 2, 'Request', printf('%04X', p % 65536) FROM c WHERE p % 2 = 0)"""
+
+
+@query(f"WITH {CONVERSATION_SQL} SELECT *, 'ReadDataByIdentifier' AS service_name FROM uds")
+def isotp_reassembly(spark, sf):
+    from wirelake.operators.diagnostics import uds_rows
+
+    return uds_rows(_conversations(spark, sf)).select("_source_file", "channel", "can_id", "timestamp_ns", "uds_type", F.hex("data").alias("data_hex"), "service_name")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 65536 AS doip_src_addr, o_custkey % 65536 AS doip_target_addr, '22' || printf('%04X', o_custkey % 65536) AS uds_hex FROM orders WHERE o_orderkey % 2 = 0""")
+def doip_parse(spark, sf):
+    """Orders as DoIP over TCP; odd ones on another port."""
+    from wirelake.operators.network import parse_doip
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def h(value, digits):
+        return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+    doip = F.concat(F.lit("02FD800100000007"), h(k % 65536, 4), h(c % 65536, 4), F.lit("22"), h(c % 65536, 4))
+    tcp = F.concat(F.when(k % 2 == 0, "3458").otherwise("3459"), F.lit("0001000000000000000050180000"), F.lit("00000000"), doip)
+    ip = F.concat(F.lit("450000370000000040060000"), F.lit("0A000001C0A80001"), tcp)
+    eth = table(spark, sf, "orders").select(k, F.lit(0x0800).alias("ether_type"), F.unhex(ip).alias("data"))
+    rows = parse_doip(eth, drop=("data", "ether_type"))
+    return rows.select("o_orderkey", F.col("doip_src_addr").cast("long").alias("doip_src_addr"), F.col("doip_target_addr").cast("long").alias("doip_target_addr"), F.hex("uds").alias("uds_hex"))
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT timestamp_ns, part, 'Days' AS signal_name, (CAST('0x' || substr(data_hex, 9, 2) AS BIGINT) + 256 * CAST('0x' || substr(data_hex, 11, 2) AS BIGINT))::DOUBLE AS signal_value FROM frames WHERE can_id <= 260""")
+def container_signals(spark, sf):
+    """The last four bytes of a frame as PDU 5 of a container, decoded."""
+    f = frames(spark, sf).where("can_id <= 260").withColumn("data", F.concat(F.unhex(F.lit("00000504")), F.substring("data", 5, 4)))
+    d = spark.createDataFrame([(257 + i, "Days", 0, 16, "Intel", False, 1.0, 0.0, 5) for i in range(4)], "message_id long, signal_name string, start_bit int, bit_length int, byte_order string, is_signed boolean, scale double, offset double, pdu_id long")
+    pdus = D.demux(f.select("timestamp_ns", "part", "can_id", "data"), d)
+    return D.decode_pdus(pdus, d, drop=("pdu_payload", "pdu_id", "can_id")).drop("signal_str")
+
+
+@query("""SELECT o_orderkey, 'Key' AS signal_name, (o_orderkey % 4294967296)::DOUBLE AS signal_value FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey % 65535 < 500""")
+def someip_signals(spark, sf):
+    m = parse_someip(_datagrams(spark, sf)).select("o_orderkey", "someip_service_id", "someip_method_id", "payload")
+    ids = m.where("someip_service_id < 500").select(F.col("someip_service_id").alias("service_id"), F.col("someip_method_id").alias("method_id")).distinct()
+    d = ids.select("service_id", "method_id", F.lit("Key").alias("signal_name"), F.lit(7).alias("start_bit"), F.lit(32).alias("bit_length"), F.lit("Motorola").alias("byte_order"), F.lit(False).alias("is_signed"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"))
+    return D.decode_someip(m, d, drop=("payload", "someip_service_id", "someip_method_id")).drop("signal_str")
+
+
+@query(f"""WITH {FRAMES_SQL}, n(channel, name) AS (VALUES (1, 'Body'), (3, 'Chassis')) SELECT timestamp_ns, part, coalesce(name, f.channel::VARCHAR) AS shown FROM frames f LEFT JOIN n USING (channel)""")
+def channel_names(spark, sf):
+    from wirelake.sinks.csv import _channel
+
+    names = spark.createDataFrame([("CAN", 1, "Body"), ("CAN", 3, "Chassis"), ("Ethernet", 0, "no")], "type string, channel int, name string")
+    return _channel(frames(spark, sf), names).select("timestamp_ns", "part", F.col("__channel").alias("shown"))
+
+
+@query("""SELECT p_partkey AS message_id, p_name AS signal_name, (p_partkey % 5 * 8 + p_partkey % 8)::INT AS start_bit, p_size AS bit_length, CASE WHEN p_partkey % 2 = 0 THEN 'Intel' ELSE 'Motorola' END AS byte_order, p_partkey % 3 = 0 AS is_signed,
+  CASE WHEN p_partkey % 4 = 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS scale, CASE WHEN p_partkey % 6 = 0 THEN -40.5 ELSE 0 END::DOUBLE AS "offset", CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 7 END AS pdu_id FROM part""")
+def typed_definitions(spark, sf):
+    from wirelake.sources.definitions import load
+
+    p = F.col("p_partkey")
+    text = table(spark, sf, "part").select(
+        F.concat(F.lit("0x"), F.hex(p)).alias("message_id"), F.col("p_name").alias("signal_name"), (p % 5).cast("string").alias("start_byte"), (p % 8).cast("string").alias("start_bit"), F.col("p_size").cast("string").alias("bit_length"),
+        F.when(p % 2 == 0, "INTEL").otherwise("motorola").alias("byte_order"), F.when(p % 3 == 0, "TRUE").otherwise("0").alias("is_signed"), F.when(p % 4 == 0, "").otherwise("0.25").alias("scale"), F.when(p % 6 == 0, "-40.5").otherwise("").alias("offset"),
+        F.when(p % 10 == 0, (p % 7).cast("string")).otherwise("").alias("pdu_id"),
+    )
+    return load(spark, text, "can")
+
+
+@query(f"""WITH {FRAMES_SQL}, l AS (SELECT _source_file, part, timestamp_ns, lag(timestamp_ns) OVER (PARTITION BY _source_file ORDER BY part, timestamp_ns) AS previous_ns FROM frames) SELECT _source_file, timestamp_ns, previous_ns, previous_ns - timestamp_ns AS delta_ns FROM l WHERE timestamp_ns < previous_ns""")
+def time_runs_back(spark, sf):
+    from wirelake.cli import boundary_warnings
+
+    order = Window.partitionBy("_source_file").orderBy("part", "timestamp_ns")
+    return boundary_warnings(frames(spark, sf).withColumn("row_in_file", F.row_number().over(order))).drop("row_in_file")
+
+
+@query("""SELECT 'n' || n_regionkey AS folder, string_agg('n' || n_regionkey || '/' || n_nationkey || '.blf', ',' ORDER BY 'n' || n_regionkey || '/' || n_nationkey || '.blf') AS files FROM nation GROUP BY 1""")
+def file_folders(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_nationkey").cast("string"), F.lit(".blf")).alias("_source_file"))
+    return viewer.folders(n).withColumn("files", F.array_join("files", ","))
+
+
+@query("SELECT 'c' || c_custkey AS _source_file FROM customer ORDER BY 1 LIMIT 200")
+def source_file_list(spark, sf):
+    return viewer.source_files(table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("_source_file")))
+
+
+# orders as scenes: clusters by customer, scores by price
+SCENES_SQL = """s AS (SELECT o_orderkey AS scene_id, 'f' || (o_custkey % 9) AS _source_file, CAST(o_custkey % 4 AS INT) AS cluster_id, o_totalprice / 5000 AS anomaly_score, 10.0 + o_custkey % 7 AS duration_s, o_totalprice / 1000 AS centroid_distance,
+  CASE WHEN o_orderstatus = 'F' THEN 'idle' ELSE o_orderpriority END AS primary_action_label FROM orders)"""
+
+
+def _scenes(spark, sf):
+    o = table(spark, sf, "orders")
+    label = F.when(F.col("o_orderstatus") == "F", "idle").otherwise(F.col("o_orderpriority"))
+    return o.select(F.col("o_orderkey").alias("scene_id"), F.concat(F.lit("f"), (F.col("o_custkey") % 9).cast("string")).alias("_source_file"), (F.col("o_custkey") % 4).cast("int").alias("cluster_id"), (F.col("o_totalprice") / 5000).alias("anomaly_score"), (10.0 + F.col("o_custkey") % 7).alias("duration_s"), (F.col("o_totalprice") / 1000).alias("centroid_distance"), label.alias("primary_action_label"))
+
+
+@query(f"""WITH {SCENES_SQL} SELECT count(*) AS n_scenes, count(DISTINCT _source_file) AS n_files, count(DISTINCT cluster_id) AS n_clusters, round(avg(duration_s), 2)::DOUBLE AS mean_duration_s, round(100.0 * avg(CASE WHEN primary_action_label <> 'idle' THEN 1 ELSE 0 END), 1) AS labeled_pct, round(max(anomaly_score), 1) AS max_anomaly FROM s""")
+def report_overview(spark, sf):
+    out = reports.overview(_scenes(spark, sf).withColumn("n_features_present", F.lit(1)))
+    return out.select("n_scenes", "n_files", "n_clusters", "mean_duration_s", "labeled_pct", "max_anomaly")
+
+
+@query(f"""WITH {SCENES_SQL} SELECT scene_id, round(anomaly_score, 1) AS anomaly_score, primary_action_label FROM s ORDER BY s.anomaly_score DESC, scene_id LIMIT 20""")
+def report_top_scenes(spark, sf):
+    top = F.array(F.struct(F.lit("f").alias("feature"), F.lit(1.0).alias("z")))
+    s = _scenes(spark, sf).withColumns({"segment_index": F.lit(0), "seg_start_s": F.lit(0.0), "seg_end_s": F.lit(1.0), "n_features_present": F.lit(1), "z_max": F.lit(1.0), "top_features": top, "scene_summary": F.lit(None).cast("string")})
+    return reports.top_scenes(s, 20).select("scene_id", "anomaly_score", "primary_action_label")
+
+
+@query(f"""WITH {SCENES_SQL} SELECT cluster_id, count(*)::INT AS n_scenes, round(avg(duration_s), 6)::DOUBLE AS mean_duration_s, round(avg(anomaly_score), 6) AS mean_anomaly_score, string_agg(DISTINCT primary_action_label, ',' ORDER BY primary_action_label) AS action_labels FROM s GROUP BY 1""")
+def cluster_profile(spark, sf):
+    s = _scenes(spark, sf).withColumns({"cluster_share": F.lit(0.25), "k_used": F.lit(4), "speed_mean_kmh": F.lit(1.0)})
+    c = scenes.clusters(s)
+    return c.select("cluster_id", "n_scenes", F.round("mean_duration_s", 6).alias("mean_duration_s"), F.round("mean_anomaly_score", 6).alias("mean_anomaly_score"), F.array_join("action_labels", ",").alias("action_labels"))
+
+
+@query("""WITH z AS (SELECT l_orderkey AS scene_id, 'k' || l_linenumber AS feature_key, l_quantity - 25 AS z, least(abs(l_quantity - 25), 10)::DOUBLE AS abs_z FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY abs_z DESC, feature_key DESC, z DESC) AS n FROM z)
+SELECT scene_id, round(sqrt(avg(abs_z * abs_z)), 9) AS z_agg, max(abs_z) AS z_max, count(*)::INT AS n_features_present, string_agg(CASE WHEN n <= 5 THEN feature_key END, ',' ORDER BY n) AS top FROM r GROUP BY 1""")
+def z_by_scene(spark, sf):
+    z = F.col("l_quantity") - 25
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.concat(F.lit("k"), F.col("l_linenumber").cast("string")).alias("feature_key"), z.alias("z"), F.least(F.abs(z), F.lit(10.0)).alias("abs_z"))
+    out = scenes.z_by_scene(rows)
+    return out.select("scene_id", F.round("z_agg", 9).alias("z_agg"), "z_max", "n_features_present", F.array_join(F.transform("top_features", lambda f: f["feature"]), ",").alias("top"))
+
+
+@query(f"""WITH {SCENES_SQL}, m AS (SELECT cluster_id, quantile_disc(centroid_distance, 0.5) AS d_median FROM s GROUP BY 1) SELECT cluster_id, round(any_value(d_median), 6) AS d_median, round(quantile_disc(abs(centroid_distance - d_median), 0.5), 6) AS d_mad FROM s JOIN m USING (cluster_id) GROUP BY 1""")
+def distance_statistics(spark, sf):
+    return scenes.distance_stats(_scenes(spark, sf)).select("cluster_id", F.round("d_median", 6).alias("d_median"), F.round("d_mad", 6).alias("d_mad"))
+
+
+@query(f"""WITH {GOLD_SQL} SELECT timestamp_ns, TIMESTAMP '2024-01-01 10:00:00' + to_microseconds(CAST(round((timestamp_s - 100) * 1e6) AS BIGINT)) AS x FROM gold WHERE signal_name = 'error'""")
+def anomaly_markers(spark, sf):
+    rows = gold(spark, sf).where("signal_name = 'error'").select("timestamp_ns", "timestamp_s")
+    return viewer.marker_times(rows, "2024-01-01 10:00:00", 100.0).select("timestamp_ns", F.col("x").cast("timestamp_ntz").alias("x"))
+
+
+@query(f"""WITH {GOLD_SQL}, o AS (SELECT _source_file AS f, min(timestamp_s) AS a, max(timestamp_s) AS b, min(event_time) AS t FROM gold WHERE {KEY_SQL} GROUP BY 1), w AS (SELECT _source_file AS f, min(timestamp_s) AS a, max(timestamp_s) AS b, min(event_time) AS t FROM gold GROUP BY 1)
+SELECT w.f AS source_file, coalesce(o.a, w.a) AS t_min, coalesce(o.b, w.b) AS t_max, coalesce(o.t, w.t) AS t0, CASE WHEN w.f = 'drive2.blf' THEN 'v/drive2.mp4' END AS _video_path FROM w LEFT JOIN o USING (f) WHERE w.f IN ('drive1.blf', 'drive2.blf')""")
+def video_playlist(spark, sf):
+    videos = spark.createDataFrame([("v/drive2.mp4", "drive2", None), ("v/zz.mp4", "zz", None)], "_video_path string, _video_stem string, _video_mtime timestamp")
+    return viewer.playlist(gold(spark, sf), videos, ["drive1.blf", "drive2.blf"], KEYS).drop("_video_mtime")

@@ -139,10 +139,40 @@ def video_files(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("_video_path"), file_stem("path").alias("_video_stem"), F.col("modificationTime").alias("_video_mtime"), F.col("length").alias("_video_size_bytes"))
 
 
-def write_gold(gold: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by source; rows lie by channel, name and time within a file,
-    so that row-group statistics prune key and time filters."""
-    spread = gold.repartitionByRange("signal_source", "channel", "signal_name", "timestamp_s")
-    spread.sortWithinPartitions("signal_source", "channel", "signal_name", "timestamp_s").write.mode(mode).partitionBy("signal_source").parquet(path)
+#: how each table is laid out on disk: partition columns, then sort columns
+LAYOUT = {
+    "bronze": (["message_type"], ["channel", "timestamp_ns"]),
+    "silver_can": (["message_type"], ["channel", "timestamp_ns"]),
+    "silver_can_container_pdus": (["message_type"], ["channel", "timestamp_ns"]),
+    "silver_can_signals": ([], ["channel", "signal_name", "timestamp_ns"]),
+    "silver_eth": (["message_type"], ["channel", "timestamp_ns"]),
+    "silver_eth_signals": ([], ["channel", "signal_name", "timestamp_ns"]),
+    "silver_someip": (["message_type"], ["channel", "timestamp_ns"]),
+    "silver_someip_signals": ([], ["channel", "signal_name", "timestamp_ns"]),
+    "silver_diag": (["transport"], ["uds_type", "timestamp_ns"]),
+    "gold_signals": (["signal_source"], ["channel", "signal_name", "timestamp_s"]),
+    "signal_catalog_by_file": ([], ["_source_file"]),
+    "boundaries": ([], ["_source_file", "seg_start_s"]),
+    "signal_features": ([], ["_source_file", "segment_index", "signal_name"]),
+    "vectors": ([], ["_source_file"]),
+    "cluster_assignments": ([], ["cluster_id"]),
+    "feature_z": ([], ["scene_id"]),
+    "scenes": ([], ["_source_file", "segment_index"]),
+    "channel_observed": ([], ["_source_file", "signal_source", "channel"]),
+    "bus_scores": ([], ["_source_file", "signal_source", "channel"]),
+    "bus_mapping": ([], ["_source_file", "signal_source"]),
+}
+
+
+def write_table(name: str, df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Range-partitioned and sorted by the table's layout, so that filters on it
+    skip files and row groups."""
+    parts, order = LAYOUT.get(name, ([], []))
+    if parts or order:
+        df = df.repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order)
+    writer = df.write.mode(mode)
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
 
+def write_gold(gold: DataFrame, path: str, mode: str = "overwrite") -> None:
+    write_table("gold_signals", gold, path, mode)

@@ -26,6 +26,11 @@ def parse_key(key: str) -> Key:
     return m[1], int(m[2] or 0), m[3]
 
 
+def sql(spark, statement: str, parameters: list | None = None) -> DataFrame:
+    """A statement with ``?`` markers bound to parameters."""
+    return spark.sql(statement, args=parameters or [])
+
+
 def any_key(keys: list[Key]) -> Column:
     """An OR of equalities, which reaches the scan (a tuple IN would not)."""
     out = F.lit(False)

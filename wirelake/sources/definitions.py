@@ -159,3 +159,8 @@ def canonical(defs: DataFrame) -> DataFrame:
     order = ([F.col("pdu_id").isNotNull(), "message_id", "pdu_id"] if pdu else ["service_id", "method_id"]) + ["signal_name"]
     start = [F.expr("start_bit div 8").alias("start_byte"), F.expr("start_bit % 8").alias("start_bit")]
     return defs.orderBy(*order).select(*ids, "signal_name", *start, "bit_length", "byte_order", "is_signed", real("scale"), real("offset"), *pdu)
+
+
+def save_table(rows: DataFrame, name: str) -> None:
+    """Overwrites a table of definitions, all columns as text."""
+    rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns)).write.mode("overwrite").saveAsTable(name)
