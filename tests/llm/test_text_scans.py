@@ -160,6 +160,8 @@ STOP = "This is the text of the page that has many of the words which are in the
         (f"<p>{STOP}</p><p>Short one.</p><p>{STOP}</p><p>{'zzyzx ' * 40}</p><p>Tail.</p>", f"{STOP.strip()}\nShort one.\n{STOP.strip()}"),
         ("<article><p>1 < 2 &lt;b&gt; <!-- gone --> end", "1 < 2 <b> end"),
         ("<p", ""),
+        ("<article><p>a</p><div class='ad-container'><p>b</p></div><div id='comments-content'>c</div></article>", "a"),
+        ("<div class='page with-sidebar'><div class='sidebar'><p>x</p></div><article><div class='entry-header'><h1>T</h1></div><p>y</p></article></div>", "T\ny"),
         ("<article><form><input value='x'>Name</form><p hidden>no</p><p>yes</p></article>", "yes"),
     ],
 )

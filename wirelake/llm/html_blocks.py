@@ -35,7 +35,9 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 GOOD_TAGS = frozenset("article main".split())
 # words in class, id and role that name what isn't the article
-BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip complementary contentinfo".split())
+BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip adslot adbox adsense complementary contentinfo".split())
+# words that make a name one of the page's layout
+LAYOUT_NAMES = frozenset("with has no without layout".split())
 # common function words of the languages served
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its of on or that the this to was were which will with not but they you his her "
@@ -47,7 +49,7 @@ SHORT, LONG = 70, 200
 LINKS_MOST = 0.5
 STOP_LEAST = 0.2
 
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""")
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -78,12 +80,20 @@ def _tag_end(page: str, at: int) -> int:
         at = close + 1
 
 
-def _bad_name(attributes: str) -> bool:
+def _bad_name(attributes: str, in_article: bool) -> bool:
+    """Whether class, id or role name boilerplate, or the element is hidden. A
+    name that tells of a page's layout (with-sidebar) names the whole page, and
+    a header inside an article is the article's."""
     for name, value in _ATTR.findall(attributes):
         low = name.lower()
-        if low in ("class", "id", "role") and any(p.lower() in BAD_NAMES for p in _PARTS.findall(value)):
-            return True
-        if low == "hidden" or (low == "style" and "display:none" in value.replace(" ", "").lower()):
+        if low in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                parts = {p.lower() for p in _PARTS.findall(token)}
+                if parts & LAYOUT_NAMES or (in_article and parts & {"header", "masthead"}):
+                    continue
+                if parts & BAD_NAMES:
+                    return True
+        elif low == "hidden" or (low == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
     return False
 
@@ -157,7 +167,7 @@ def blocks(page: str) -> list[Block]:
             if what in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == what:
                 stack.pop()  # these end where the next one begins
                 place, hidden = stack[-1][1:] if stack else (OPEN, False)
-            if what in BAD_TAGS or (what not in ("html", "body", *GOOD_TAGS) and _bad_name(attributes)) or (what == "header" and place != GOOD):
+            if what in BAD_TAGS or (what not in ("html", "body", *GOOD_TAGS) and _bad_name(attributes, place == GOOD)) or (what == "header" and place != GOOD):
                 place = BAD
             elif what in GOOD_TAGS and place != BAD:
                 place = GOOD
