@@ -24,8 +24,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = rows.where("doc_id % 100 = 0").select("fingerprint")
     near = simhash.within_radius(prints, asked).join(prints, "fingerprint").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    asks = F.when(F.col("doc_id") % 100 == 0, F.col("fingerprint"))
-    return rows.join(near, asks == F.col("query"), "left").drop("query")
+    asks = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    answered = rows.where(asks).join(near, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    return answered.unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
