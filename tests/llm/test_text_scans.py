@@ -126,9 +126,9 @@ def test_revealing_terms(documents):
 
 def test_redact(documents):
     rows = planted_terms() + [(500, None), (501, ""), (502, "call +1 (017) 555-7713 or 4111 1111 1111 1111, 10.0.0.1"), (502, "clean tie")]
-    df = documents(rows, extra=True)
+    df = documents(rows, extra=True).selectExpr("*", "'kept' as email", "'kept' as term", "'kept' as contexts")
     out = pii.redact(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {r["email"] for r in out.collect()} == {"kept"}
     got = {}
     for r in out.collect():
         got.setdefault(r["doc_id"], []).append((r["text"], r["n_chars"]))

@@ -53,9 +53,10 @@ KINDS = {
 }
 
 
-def _based(df: DataFrame, text: str = "__t") -> DataFrame:
+def _based(df: DataFrame, text: str = "__t", prefix: str = "") -> DataFrame:
+    """Adds the spans of each kind, as columns named by ``prefix`` and kind."""
     for kind, (pattern, guard, keep) in KINDS.items():
-        df = with_spans(df, kind, text, pattern, guard.format(t=text), keep)
+        df = with_spans(df, prefix + kind, text, pattern, guard.format(t=text), keep)
     return df
 
 
@@ -131,16 +132,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``; in ``text`` base values are generalised to
     ``<KIND>`` and revealing terms to ``<TERM>``; ``n_chars`` follows."""
     columns = docs.columns
-    base = stored(base_spans(docs))
+    base = stored(base_spans(docs.select("doc_id", "text")))
     found = disclosed(docs.select("doc_id", "text"), base)
-    rows = _based(docs.withColumn("__t", text_or_empty()))
+    rows = _based(docs.withColumn("__t", text_or_empty()), prefix="__pii_")
     if found is not None and not found.isEmpty():
         extra = stored(_with_terms(docs.select("doc_id", "text"), base, found)).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), F.col("term").alias("__term"))
         rows = rows.withColumn("__h", F.xxhash64("__t"))
         rows = rows.join(_small(extra), rows["doc_id"].eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
     else:
-        rows = rows.withColumn("__term", F.slice("email", 1, 0))
-    marks = ", ".join(f"transform(coalesce({c}, {KIND_NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k, c in [*((k, k) for k in KINDS), ("term", "__term")])
+        rows = rows.withColumn("__term", F.slice("__pii_email", 1, 0))
+    marks = ", ".join(f"transform(coalesce({c}, {KIND_NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k, c in [*((k, f"__pii_{k}") for k in KINDS), ("term", "__term")])
     rows = rows.withColumn("__s", F.expr(f"array_sort(concat({marks}))"))
     rows = rows.withColumn("text", F.when(F.col("text").isNull() & (F.size("__s") == 0), F.col("text")).otherwise(replaced("__t", "__s")))
     if "n_chars" in columns:

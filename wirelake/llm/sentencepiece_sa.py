@@ -140,7 +140,7 @@ class Codec:
     def relax_long(self, edges: np.ndarray, segment: str) -> bytes:
         """Ids of one segment, whose edges are given, as 16-bit numbers."""
         n, width, rank = len(segment), edges.shape[1], self.rank
-        rows = edges[:n].tolist()
+        rows = edges[:n].tolist() if n <= INDEX_CHARS else edges  # a list takes several times the memory
         nexts, alive = list(range(1, n + 1)), [True] * n
         before = list(range(-1, n - 1))
         heap: list = []
