@@ -177,16 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return Model(np.frombuffer(bytes(w), np.float32), *p)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``score``."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` plus the score as ``name`` (instead of a column of
+    that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights
 
     def run(batches):
         for b in batches:
             s = [shared.value.score(features(t.as_py() or "")) for t in b.column("__text")]
             keep = b.select([n for n in b.schema.names if n != "__text"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(s, pa.float64())], names=[*keep.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(s, pa.float64())], names=[*keep.schema.names, name])
 
-    out = docs.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + ", score double"
+    out = docs.drop(name)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + f", `{name}` double"
     return out.withColumn("__text", text_or_empty()).mapInArrow(run, schema)
