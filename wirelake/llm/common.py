@@ -24,7 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = getattr(spark, "_wirelake_root", None)
     if root is None:
@@ -35,13 +36,27 @@ def shared_root(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts the
-    lineage: what follows doesn't depend on any executor's disk."""
+    lineage: what follows doesn't depend on any executor's disk. The tables stay
+    until ``release``."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/wirelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored; call it once the results
+    that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -55,7 +70,7 @@ class TermCache(dict):
     """term -> 64-bit hash, filled on demand and emptied when it holds ``most``
     terms, so that a worker's memory stays bounded on any corpus."""
 
-    def __init__(self, fn, most: int = 200_000):
+    def __init__(self, fn, most: int = 100_000):
         super().__init__()
         self.fn, self.most = fn, most
 

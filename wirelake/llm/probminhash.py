@@ -192,16 +192,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b): comp is the least node
-    linked to it, found by alternating large and small stars. Each round ends
-    in a table in the shared folder; hubs only meet aggregates and joins."""
+    linked to it, found by alternating large and small stars. Aggregates are
+    stored before they are joined, so that a hub's rows can be split in the join."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.where("u <> v").distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -215,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
     """Verified links (a, b) whose components are the classes; None without any."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
     members = stored(keyed.join(buckets, "key"))
     pairs = stored(members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     wanted = stored(members.select("node").distinct())
@@ -238,7 +238,7 @@ def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     large = members.where("n > 2")  # in buckets of two the only pair is known
     inside = stored(large.join(comps, large.node == comps.cnode, "left").select("key", "n", "node", "least", F.coalesce("comp", "node").alias("comp")))
     sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1").select("key", F.col("top.comp").alias("major"))
+    mixed = stored(sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1").select("key", F.col("top.comp").alias("major")))
     return stored(inside.join(mixed, "key").where("node <> least"))
 
 
@@ -309,16 +309,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     else:
         comps = stored(components(found)).withColumnRenamed("node", "cnode")
         named = rows.join(comps, rows.node == comps.cnode, "left").select("doc_id", "text_key", "node", F.coalesce("comp", "node").alias("comp"))
-    named = stored(named)
-    groups = named.where("comp is not null").groupBy("comp").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    single = F.col("n").isNull()
+    # ranked before the join, whose exchange on the class can then be split where a class is hot
     among_same = F.row_number().over(Window.partitionBy("comp", "doc_id").orderBy("text_key"))
+    named = stored(named.withColumn("again", among_same))
+    groups = stored(named.where("comp is not null").groupBy("comp").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1"))
+    single = F.col("n").isNull()
     return named.join(groups, "comp", "left").select(
         "doc_id",
         "text_key",
         F.when(single, F.col("doc_id")).otherwise(F.col("top")).alias("class_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("class_size"),
-        (single | (F.col("doc_id").eqNullSafe(F.col("top")) & (among_same == 1))).alias("kept"),
+        (single | (F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("again") == 1))).alias("kept"),
     )
 
 
