@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_blocks, packing, pii, probminhash, quality, secrets, sentencepiece_sa, simhash, token_hist
-from .common import crc_bucket, table, text_or_empty
+from .common import crc_bucket, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
