@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelake.llm import exact_dedup, packing, pii, probminhash, quality
-from wirelake.llm.common import stored, table
+from wirelake.llm.common import small_batches, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, "__quality").where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
@@ -26,6 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one stays."""
+    small_batches(spark)
     return probminhash.drop_near_copies(docs)
 
 
@@ -36,6 +38,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' ids, packed into sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

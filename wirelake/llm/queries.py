@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_blocks, packing, pii, probminhash, quality, secrets, sentencepiece_sa, simhash, token_hist
-from .common import crc_bucket, table
+from .common import crc_bucket, small_batches, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
@@ -20,6 +21,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the contract's columns: for ids divisible by 100, how many other
     documents have a fingerprint within the radius (null for other ids)."""
+    small_batches(spark)
     rows = simhash.edited_neighbours(table(spark, sf_dir, "documents"))
     prints = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = rows.where("doc_id % 100 = 0").select("fingerprint")
@@ -36,14 +38,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
+    small_batches(spark)
     return sentencepiece_sa.digests(sentencepiece_sa.encode(table(spark, sf_dir, "documents")))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_hist.suffix_sums(token_hist.lengths(table(spark, sf_dir, "documents")))
 
 
@@ -56,10 +61,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return probminhash.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
