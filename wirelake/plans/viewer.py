@@ -173,9 +173,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, value: str, by: lis
     a = left.select(*by, on, F.struct(*kept).alias("l"), F.lit(None).cast(right.select(other.alias("r")).schema["r"].dataType).alias("r"))
     b = right.where(F.col(value).isNotNull()).select(*by, on, F.lit(None).cast(a.schema["l"].dataType).alias("l"), other.alias("r"))
     line = a.unionByName(b)
-    w = Window.partitionBy(*by).orderBy(on)
-    back = F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy(*by)
+    # both frames grow from one end: a frame to the far end is recomputed for every row
+    carried = F.last("r", ignorenulls=True)
+    back = carried.over(w.orderBy(F.col(on).asc()).rangeBetween(Window.unboundedPreceding, 0))
+    ahead = carried.over(w.orderBy(F.col(on).desc()).rangeBetween(Window.unboundedPreceding, 0))
     found = line.withColumns({"__b": back, "__a": ahead}).where("l is not null")
     gap_b, gap_a = F.col(on) - F.col(f"__b.{on}"), F.col(f"__a.{on}") - F.col(on)
     near = F.when(F.col("__a").isNull() | (gap_b <= gap_a), F.col("__b")).otherwise(F.col("__a"))
