@@ -118,6 +118,21 @@ def test_classes_equal_brute_force(documents, prose):
         assert top == max(r["doc_id"] for r in g) and all(r["class_size"] == len(g) for r in g) and [r["doc_id"] for r in g if r["kept"]] == [top]
 
 
+def test_repeats_do_not_hide_near_copies(documents):
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(204)]
+        cycle = [f"c{g}x{i}" for i in range(40)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words + cycle * 100))]  # 0.82, extra shingles repeat
+        same = [f"s{g}x{i}" for i in range(200)]
+        often = same[:40] * 300 + same
+        rows += [(10 * g + 2, " ".join(same[:40] * 2 + same)), (10 * g + 3, " ".join(often))]  # equal sets
+    groups = {}
+    for r in probminhash.classes(documents(rows)).collect():
+        groups.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == brute_classes(rows) and all(len(g) == 2 for g in groups.values())
+
+
 def test_near_copies_edges(documents, prose):
     t = prose(3)
     rows = [(1, t), (1, t), (2, t + " more"), (None, t), (3, "other words that are not alike at all"), (4, None), (5, "")]

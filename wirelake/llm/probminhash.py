@@ -1,13 +1,14 @@
-"""Near-duplicate detection: ProbMinHash over weighted shingles.
-
-A text's five-word shingles weigh 1 + ln(count). Each shingle is a Poisson
-process whose rate is its weight: its arrivals, seeded by its hash, fall on
-random registers, and a register keeps the shingle that arrives first. A
-shingle stops as soon as its next arrival lies beyond the latest first arrival
-of all registers, so most stop after one. Two texts agree on a register with
-their probability Jaccard. 28 bands of 5 registers make candidates, which are
-verified by the exact Jaccard similarity of the shingle sets (0.8 or more). A
-pair at 0.8 is missed with a chance of about 1.5e-5.
+"""Near-duplicate detection: ProbMinHash over sets of shingles.
+
+Each five-word shingle of a text is a Poisson process whose rate is its weight:
+its arrivals, seeded by its hash, fall on random registers, and a register keeps
+the shingle that arrives first. A shingle stops as soon as its next arrival lies
+beyond the latest first arrival of all registers, so most stop after one. Two
+texts agree on a register with their probability Jaccard. Links are decided by
+the Jaccard similarity of the shingle sets, so every shingle weighs 1 however
+often it repeats: then both similarities are the same. 28 bands of 5 registers
+make candidates, which are verified exactly (0.8 or more). A pair at 0.8 is
+missed by the bands with a chance of about 1.5e-5, whatever repeats in it.
 
 Texts with equal words are one node. No group is expanded into its pairs:
 
@@ -130,8 +131,8 @@ def _signed(docs: DataFrame) -> DataFrame:
             rows = []
             for i, t in enumerate(b.column("t")):
                 words = words_of(t.as_py())
-                h, n = np.unique(shingles(words), return_counts=True)
-                rows.append((len(h), i, node_of(words), h, 1 + np.log(n)))
+                h = np.unique(shingles(words))
+                rows.append((len(h), i, node_of(words), h))
             rows.sort(key=lambda r: r[0])  # sets of like size take a like number of rounds
             ids, keys_of = b.column("doc_id"), b.column("text_key")
             at = 0
@@ -146,7 +147,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 empty = len(group) - len(filled)  # they come first
                 keys, s = [None] * empty, [(None, None)] * empty
                 if filled:
-                    sig = signatures([(r[3], r[4]) for r in filled])
+                    sig = signatures([(r[3], np.ones(r[0])) for r in filled])
                     keys += list(bands(sig))
                     s += sketch(sig).tolist()
                 take = pa.array([r[1] for r in group])
