@@ -169,6 +169,18 @@ def test_html(page, want):
     assert html_blocks.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p>Teaser</p></article><div><p>{STOP}</p><p>{STOP * 2}</p></div>", f"Teaser\n{STOP.strip()}\n{(STOP * 2).strip()}"),
+        (f"<div><p>{STOP}</p><h2>Head</h2></div><main><p>Body</p></main><p>{'zzyzx ' * 40}</p>", f"{STOP.strip()}\nHead\nBody"),
+        (f"<article><p>{STOP}</p><p><a href=x>{STOP}</a></p></article>", STOP.strip()),
+    ],
+)
+def test_rules_decide_on_pages_with_an_article(page, want):
+    assert html_blocks.main_text(page) == want
+
+
 def test_extract_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = [(1, None, None), (2, "u", "<article><p>x</p></article>"), (2, "u", "<article><p>x</p></article>")]

@@ -3,9 +3,10 @@
 A page is cut into text blocks at block-level tags. The first pass decides a
 block by where it stands and by its density: blocks inside navigation, forms,
 footers, asides and containers named as adverts, notices, sidebars or comments
-are boilerplate, as are blocks made of links; blocks inside the article are
-content; elsewhere long blocks with a fair share of stop words are content,
-long ones without are boilerplate. Short blocks stay open. In the second pass
+are boilerplate, as are blocks made of links, inside the article too; other
+blocks inside the article are content, whatever their density. Outside it, also
+on pages that have one, long blocks with a fair share of stop words are content,
+long ones without are boilerplate, and short blocks stay open. In the second pass
 an open block inherits the label of its nearest decided neighbours: content if
 both sides are content, else the label of the nearer one.
 
@@ -190,23 +191,20 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(b: Block, has_article: bool) -> int:
+def first_pass(b: Block) -> int:
     if b.place == BAD:
         return BAD
     if b.place == GOOD:
-        return BAD if b.linked > 0.8 * len(b.text) and len(b.text) < SHORT and not b.heading else GOOD
+        return BAD if b.linked > LINKS_MOST * len(b.text) and not b.heading else GOOD
     if b.linked > LINKS_MOST * len(b.text) or b.text.startswith(("©", "Copyright")):
         return BAD
     if len(b.text) < SHORT or b.heading:
         return OPEN
-    if has_article:
-        return OPEN if len(b.text) < LONG else BAD
     return GOOD if stop_density(b.text) >= STOP_LEAST else BAD if len(b.text) < LONG or stop_density(b.text) < STOP_LEAST / 2 else GOOD
 
 
 def classify(found: list[Block]) -> list[int]:
-    has_article = any(b.place == GOOD for b in found)
-    first = [first_pass(b, has_article) for b in found]
+    first = [first_pass(b) for b in found]
     n = len(first)
     before, after, last = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n, (BAD, -1)
     for i in range(n):
@@ -218,9 +216,7 @@ def classify(found: list[Block]) -> list[int]:
         after[i] = (last[0], last[1] - i)
     out = []
     for label, left, right, b in zip(first, before, after, found):
-        if label == OPEN and b.place != GOOD and has_article:
-            label = BAD  # outside the article, with neighbours inside it at best
-        elif label == OPEN:
+        if label == OPEN:
             both = left[0] == right[0]
             nearer = left if left[1] < right[1] else right
             label = left[0] if both else GOOD if b.heading and right[0] == GOOD else nearer[0]
