@@ -181,6 +181,10 @@ def test_rules_decide_on_pages_with_an_article(page, want):
     assert html_blocks.main_text(page) == want
 
 
+def test_closing_tags_match_at_any_depth():
+    assert html_blocks.main_text(f"<nav>{'<font>' * 200}menu</nav><article><p>Body</p></article>") == "Body"
+
+
 def test_extract_whole_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = [(1, None, None), (2, "u", "<article><p>x</p></article>"), (2, "u", "<article><p>x</p></article>")]

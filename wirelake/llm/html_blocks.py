@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -137,6 +138,7 @@ def _events(page: str):
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, place, hidden
+    standing: Counter[str] = Counter()  # names in the stack
     text: list[str] = []
     linked = links = 0
     where: tuple[int, bool] = (OPEN, False)
@@ -165,20 +167,22 @@ def blocks(page: str) -> list[Block]:
             if what in VOID_TAGS or attributes.endswith("/"):
                 continue
             if what in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == what:
-                stack.pop()  # these end where the next one begins
+                standing[stack.pop()[0]] -= 1  # these end where the next one begins
                 place, hidden = stack[-1][1:] if stack else (OPEN, False)
             if what in BAD_TAGS or (what not in ("html", "body", *GOOD_TAGS) and _bad_name(attributes, place == GOOD)) or (what == "header" and place != GOOD):
                 place = BAD
             elif what in GOOD_TAGS and place != BAD:
                 place = GOOD
             stack.append((what, place, hidden or what in HIDDEN_TAGS))
+            standing[what] += 1
             links += what == "a"
         else:
             if what in BLOCK_TAGS:
                 flush()
-            if any(x[0] == what for x in stack[-64:]):
+            if standing[what]:
                 while True:
                     name = stack.pop()[0]
+                    standing[name] -= 1
                     links -= name == "a"
                     if name == what:
                         break
