@@ -181,6 +181,20 @@ def test_sentencepiece_equals_the_library(documents, prose):
     assert sentencepiece_sa.encode(documents([(1, "x")]).where("false")).count() == 0
 
 
+def test_models_that_merging_does_not_reproduce_are_an_error(tmp_path, prose):
+    sentencepiece_sa.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    cases = {"plain": ("bpe", "identity", False), "unigram": ("unigram", "identity", False), "nfkc": ("bpe", "nfkc", False), "spaces": ("bpe", "identity", True)}
+    for name, (kind, rule, squeeze) in cases.items():
+        path = str(tmp_path / name)
+        lines = iter([prose(i) for i in range(30)])
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=lines, model_prefix=path, vocab_size=60, model_type=kind, normalization_rule_name=rule, remove_extra_whitespaces=squeeze, hard_vocab_limit=False, minloglevel=2)
+        if name == "plain":
+            sentencepiece_sa.codec(path + ".model")
+        else:
+            with pytest.raises(ValueError):
+                sentencepiece_sa.codec(path + ".model")
+
+
 def test_suffix_array():
     codes = np.array([ord(c) for c in "banana"] + [-1] + [ord(c) for c in "ban"] + [-1])
     order = sentencepiece_sa.suffix_array(codes, 4)

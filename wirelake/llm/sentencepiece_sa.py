@@ -6,11 +6,10 @@ indexed by a suffix array over their code points, ordered as deep as the
 longest piece. Every piece is binary-searched for its range of occurrences; the
 occurrences, sorted by position, are the edges of the segments' lattices.
 
-The lattices are then reduced. For a unigram model that is a shortest-path
-relaxation. The public model served here is a BPE model, whose ids a shortest
-path does not reproduce; its edges are relaxed in BPE order instead: of all
-edges that join two neighbouring tokens the best-scored, leftmost one is taken
-until none is left. Characters outside the vocabulary become bytes.
+The lattices are then reduced in BPE order: of all edges that join two
+neighbouring tokens the best-scored, leftmost one is taken until none is left.
+Characters outside the vocabulary become bytes. Models that are not BPE, or that
+normalise more than by a space in front, are an error.
 
 Cases: null texts equal empty ones and have no token. Repeated rows are encoded
 each. An empty table gives no rows. Texts and words of any length are encoded
@@ -88,6 +87,42 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray,
     return lo, hi
 
 
+def _fields(message: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a serialized protobuf message."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            out[field] = number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        out[field] = message[at : at + size]
+        at += size
+    return out
+
+
+def require_plain_bpe(proto: bytes) -> None:
+    """Raises for models whose ids merging in BPE order would not give."""
+    model = _fields(proto)
+    trainer, normalizer = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("only BPE models are supported")
+    # charsmap, dummy prefix, extra spaces removed, spaces escaped; then spaces as suffixes
+    if normalizer.get(2) or [normalizer.get(i, 1) for i in (3, 4, 5)] != [1, 0, 1] or trainer.get(24, 0):
+        raise ValueError("only models with identity normalisation, a dummy prefix and kept spaces are supported")
+
+
 class Codec:
     """A model's vocabulary with the encoder and the decoder."""
 
@@ -95,6 +130,7 @@ class Codec:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        require_plain_bpe(model.serialized_model_proto())
         n = model.get_piece_size()
         self.unk = model.unk_id()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
