@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicates, SentencePiece, the classifier and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -133,6 +134,63 @@ def test_repeats_do_not_hide_near_copies(documents):
     assert sorted(map(sorted, groups.values())) == brute_classes(rows) and all(len(g) == 2 for g in groups.values())
 
 
+def overlap_classes(rows, least=0.8):
+    """brute_classes for many rows: every text is counted against all others at
+    once, through the rows that hold its shingles."""
+    sets, holders = [], {}
+    for k, (_, t) in enumerate(rows):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+        for x in sets[-1]:
+            holders.setdefault(x, []).append(k)
+    holders, size = {x: np.array(v) for x, v in holders.items()}, np.array([len(x) for x in sets])
+    label = np.arange(len(rows))
+    for k, own in enumerate(sets):
+        both = np.bincount(np.concatenate([holders[x] for x in own]), minlength=len(rows))
+        alike = both >= least * (size + size[k] - both) - 1e-9
+        label[np.isin(label, label[alike])] = label[alike].min()
+    return label
+
+
+def large_group(seed, n):
+    """n edited copies of one text, most of them near 0.8 of each other: some
+    classes of hundreds, many of a few, most alone."""
+    r = random.Random(seed)
+    base = [f"base{i}" for i in range(150)]
+    families = [base]
+    for f in range(5):
+        w = list(base)
+        for k in r.sample(range(150), 3 + f):
+            w[k] = f"family{f}x{k}"
+        families.append(w)
+    rows = []
+    for i in range(n):
+        w = list(r.choice(families))
+        for k in r.sample(range(0, 150, 5), r.choice([0, 2, 3, 4, 6, 8])):
+            w[k] = f"own{r.randrange(2)}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_large_bucket_of_many_classes(documents):
+    rows = large_group(3, 2000)
+    label = overlap_classes(rows)
+    sizes = np.unique(label, return_counts=True)[1]
+    assert sizes.max() > 400 and (sizes == 1).sum() > 100 and ((sizes > 1) & (sizes < 50)).sum() >= 3
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(documents(rows).repartition(4)).collect()}
+    want = {}
+    for i, k in enumerate(label):
+        want[k] = max(want.get(k, -1), i)
+    assert got == {i: want[k] for i, k in enumerate(label)}
+
+
+def test_near_copies_of_long_texts_and_columns_of_any_name(documents, prose):
+    long = prose(70, 30_000)
+    df = documents([(1, long), (2, long + " one word more"), (3, prose(71, 9))]).selectExpr("*", "'a' as __k", "'b' as own_key", "'c' as h1", "'d' as row")
+    out = probminhash.drop_near_copies(df)
+    assert out.columns == df.columns and sorted((r["doc_id"], r["__k"], r["own_key"], r["h1"], r["row"]) for r in out.collect()) == [(i, "a", "b", "c", "d") for i in (2, 3)]
+
+
 def test_near_copies_edges(documents, prose):
     t = prose(3)
     rows = [(1, t), (1, t), (2, t + " more"), (None, t), (3, "other words that are not alike at all"), (4, None), (5, "")]
@@ -181,6 +239,26 @@ def test_sentencepiece_equals_the_library(documents, prose):
     assert sentencepiece_sa.encode(documents([(1, "x")]).where("false")).count() == 0
 
 
+def test_sentencepiece_batches_of_any_length(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_sa.Codec(path)
+    r, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyzé中 "
+    for n in range(41):
+        for text in ("".join(r.choice(letters) for _ in range(n)), "a" * n, "ab cd " * 7):
+            text = text[:n]
+            fresh = sentencepiece_sa.Codec.__new__(sentencepiece_sa.Codec)
+            fresh.__dict__.update(codec.__dict__, known={}, older={})  # alone in its index
+            assert fresh.encode([text])[0].tolist() == model.encode(text)
+            assert codec.encode([text])[0].tolist() == model.encode(text)  # on a warm cache, with one new word
+    long = ["".join(r.choice("etaoin中文é") for _ in range(5000)), "a" * 5000, "zq" * 1500, "▁" * 300 + "x"]
+    want = [model.encode(t) for t in long]
+    for chars in (400_000, 700):  # in one index and in several
+        monkeypatch.setattr(sentencepiece_sa, "INDEX_CHARS", chars)
+        fresh = sentencepiece_sa.Codec.__new__(sentencepiece_sa.Codec)
+        fresh.__dict__.update(codec.__dict__, known={}, older={})
+        assert [x.tolist() for x in fresh.encode(long)] == want
+
+
 def test_models_that_merging_does_not_reproduce_are_an_error(tmp_path, prose):
     sentencepiece_sa.codec(public_tokenizers.path("piece_bpe_32k.model"))
     cases = {"plain": ("bpe", "identity", False), "unigram": ("unigram", "identity", False), "nfkc": ("bpe", "nfkc", False), "spaces": ("bpe", "identity", True)}
@@ -231,6 +309,56 @@ def test_quality_edges(spark, documents, prose):
     assert {r["score"] for r in quality.score(df, nothing).collect()} == {0.5}
 
 
+def test_score_keeps_columns_of_any_name(documents):
+    model = quality.fit_rows([np.array([1], np.int32)], np.array([1]))
+    df = documents([(1, "x"), (2, None), (3, "word " * 400_000)]).selectExpr("*", "'a' as whole_text", "'b' as __text", "'c' as `odd name`", "array(named_struct('x', 1)) as nested")
+    out = quality.score(df, model)
+    assert out.columns == [*df.columns, "score"] and {(r["whole_text"], r["__text"], r["odd name"]) for r in out.collect()} == {("a", "b", "c")}
+
+
+def brute_fit(sets, y, c=1.0, steps=60_000):
+    """The published method in plain Python: smoothed counts, their log-ratio,
+    and the hinge loss minimised by its primal, by subgradients."""
+    names = sorted(set().union(*sets))
+    ratio = {}
+    for f in names:
+        held = [sum(f in s for s, t in zip(sets, y) if t == side) for side in (1, -1)]
+        ratio[f] = math.log((held[0] + 1) / (y.count(1) + 2) / ((held[1] + 1) / (y.count(-1) + 2))) if sum(held) >= 3 else 0.0
+    x = np.array([[ratio[f] / len(s) ** 0.5 if f in s else 0.0 for f in names] + [1.0] for s in sets])
+    side = np.array([c * len(y) / (2 * y.count(t)) for t in y])
+    target, w = np.array(y), np.zeros(len(names) + 1)
+
+    def loss(w):
+        return w @ w / 2 + (side * np.maximum(0, 1 - target * (x @ w))).sum()
+
+    best, least = w, loss(w)
+    for t in range(1, steps):
+        w = w - (w - x.T @ (side * target * (target * (x @ w) < 1))) / (t + 50)
+        if t > steps // 2 and (now := loss(w)) < least:
+            best, least = w.copy(), now
+    return names, ratio, best, least, loss
+
+
+def test_fit_equals_brute_force():
+    r = random.Random(6)
+    y = [r.choice([1, -1]) for _ in range(60)]
+    sets = [{f for f in range(25) if r.random() < (0.5 if (f % 3 == 0) == (t == 1) else 0.25)} | {99} for t in y]
+    rows = [np.array(sorted(s), np.int32) for s in sets]
+    names, ratio, best, least, loss = brute_fit(sets, y)
+    got = quality.log_ratios(rows, np.array(y))
+    assert all(got[f] == pytest.approx(ratio[f]) for f in names) and np.count_nonzero(got) == sum(v != 0 for v in ratio.values())
+    w, b = quality.hinge_weights(rows, np.array(y), got, epochs=2000, tolerance=1e-9)
+    assert loss(np.array([*(w[f] for f in names), b])) == pytest.approx(least, rel=2e-3) and loss(np.array([*(w[f] for f in names), b])) <= least + 1e-6
+    mixed, _ = quality.dual_descent(rows, np.array(y), got)
+    w, _ = quality.hinge_weights(rows, np.array(y), got)
+    mean = np.mean([abs(w[f]) for f in names if w[f]])
+    assert all(mixed[f] == pytest.approx(got[f] * (0.25 * w[f] + 0.75 * mean)) for f in names if w[f])
+    model = quality.fit_rows(rows, np.array(y))
+    for s in rows:
+        value = sum(float(model.weights[f]) for f in s) / len(s) ** 0.5 + model.bias
+        assert model.score(s) == pytest.approx(1 / (1 + math.exp(-(model.slope * value + model.offset))), abs=1e-6)
+
+
 def test_log_ratios_and_descent():
     rows = [np.array([1, 2, 9], np.int32), np.array([1, 3], np.int32), np.array([2, 9], np.int32)] * 4
     y = np.array([1, -1, 1] * 4)
@@ -268,3 +396,40 @@ def test_pipeline_equals_brute_force(spark, sf):
     from wirelake.llm.tokens import default_tokenizer, encode
 
     assert sizes == {i: len(encode(t, default_tokenizer())) + 1 for i, t in stages[3].items()}
+
+
+def test_pipeline_takes_any_rows_and_leaves_no_tables(spark, documents, prose, tmp_path):
+    import os
+
+    from wirelake.llm import common
+
+    labels = [(i, int(i % 2 == 0)) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = [(i, prose(i)) if i % 2 == 0 else (i, " | ".join(prose(i).split())) for i in range(80)]
+    rows = good + [(200, prose(2)), (201, prose(4) + " more"), (202, None), (203, ""), (203, ""), (None, prose(300)), (204, prose(6) + " call +1 (017) 555-7713"), (205, " ".join(prose(i) for i in range(500, 700)))]
+    rows += [(206, rows[-1][1] + " end")] * 2
+    cases = {"rows": documents(rows).selectExpr("*", "'a' as quality_score", "'b' as own_key", "'c' as __t"), "none": documents(rows).where("false")}
+    for name, df in cases.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        os.symlink(tmp_path / "labels.parquet", folder / "labels.parquet")
+        df.write.parquet(f"{folder}/documents.parquet")
+        common.release(spark)
+        state = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = corpus_pipeline.stored(stage(spark, state, str(folder)))
+            assert state.columns == df.columns
+        left = {(r["doc_id"], r["quality_score"], r["own_key"], r["__t"]) for r in state.collect()}
+        if name == "rows":
+            ids = {i for i, *_ in left}
+            assert {x[1:] for x in left} == {("a", "b", "c")} and None in ids and not {2, 4, 6, 205} & ids and {200, 201, 204, 206} <= ids
+            assert "<PHONE>" in {r["doc_id"]: r["text"] for r in state.collect()}[204]
+        else:
+            assert not left
+        common.release(spark)
+        assert corpus_pipeline.run(spark, str(folder)).count() == (0 if name == "none" else corpus_pipeline.run(spark, str(folder)).count())
+        assert len(common._tables) <= 2  # the input of each last stage
+        root = common.shared_root(spark)
+        assert len(os.listdir(f"{root}/wirelake")) == len(common._tables)
+        common.release(spark)
+        assert os.listdir(f"{root}/wirelake") == []

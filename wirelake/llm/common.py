@@ -45,15 +45,60 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two 64-bit keys that are broadcast, at most.
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where a count shows that it is bounded; beyond
+    that the join is one by exchange, with the same result."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as keep them apart from the
+    columns of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, marked: DataFrame, key: str, key_of: Column) -> DataFrame:
+    """``docs`` less the rows that ``marked`` (doc_id, key, kept; stored) doesn't
+    keep; ``key_of`` gives a row's key. The marks are brought to the texts where
+    they are few enough. Of rows that repeat id and key one stays if any does."""
+    by_row = stored(marked.groupBy("doc_id", key).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    own, gone_id, gone_key = fresh(docs, "own_key", "gone_id", "gone_key")
+    gone = by_row.where("not kept").select(F.col("doc_id").alias(gone_id), F.col(key).alias(gone_key))
+    left = docs.withColumn(own, key_of)
+    left = left.join(small(gone), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key)), "left_anti")
+    twice = by_row.where("kept").select(F.col("doc_id").alias(gone_id), F.col(key).alias(gone_key))
+    if not twice.isEmpty():
+        twice = small(twice)
+        same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key))
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return left.drop(own)
+
+
 _tables: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this process has stored; call it once the results
-    that read them are written."""
+def stored_count() -> int:
+    """How many tables this process holds."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0, newest: int = 0) -> None:
+    """Deletes the tables that this process has stored, from number ``since`` on
+    but for the ``newest`` ones; call it once the results that read them are
+    written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+    for path in [_tables.pop(since) for _ in range(len(_tables) - newest - since)]:
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -10,26 +10,32 @@ often it repeats: then both similarities are the same. 28 bands of 5 registers
 make candidates, which are verified exactly (0.8 or more). A pair at 0.8 is
 missed by the bands with a chance of about 1.5e-5, whatever repeats in it.
 
-Texts with equal words are one node. No group is expanded into its pairs:
+Texts with equal words are one node. A class needs only links that span it, so
+no group is expanded into its pairs:
 
 1. In each band bucket every node is compared with the bucket's least node;
    verified links give connected components.
-2. What is left are pairs in one bucket but in different components. In small
-   buckets, nodes outside the largest component look for partners; a pair is
-   dropped where the distances to the least node, which are exact and obey the
-   triangle inequality, or a 128-bit sketch rule out 0.8. The rest is verified.
-   Large buckets are dealt into blocks of bounded size; a task takes two blocks,
-   counts each member's common shingles with all others at once and gives the
-   links only.
+2. Buckets that still hold several components are cut finer by bits of a sketch,
+   in several ways; every node is compared with one representative of each of
+   its parts. Both steps compare a node as often as it has bands, however large
+   its bucket is.
+3. What is left are pairs in one bucket but in different components. They are
+   found by their rare shingles: two sets with a similarity t share one of the
+   (1 - t)|x| + 1 shingles of each that the fewest other sets hold, and those
+   shingles' ranks bound what the sets can share. An equi-join on such shingles
+   finds the pairs that can reach t, which are verified too. No bucket or
+   posting is gathered in one task: the join's hot shingles can be split.
 
 Every link between different texts thus ends in one class, with no cap on
 buckets or partners.
 
 Cases: null texts equal empty ones. A text of one to four words has one
-shingle, of all its words; texts without words stay alone. Ties and repeated
+shingle, of all its words; texts without words stay alone. Very long texts are
+read whole, a worker holds one group of them at a time. Ties and repeated
 rows are in one class; the class is named by its largest doc_id, whose row is
 kept (one of them, where it repeats). Null ids never name a class that has
-another. An empty table gives no rows. Other columns are ignored.
+another. An empty table gives no rows. Other columns are ignored, whatever their
+names, and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -40,19 +46,21 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, TermCache, mix64, stored, text_or_empty
+from .common import MASK64, TermCache, mix64, small, stored, text_or_empty, without
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, PER_BAND = 28, 5
 REGISTERS = BANDS * PER_BAND
+#: At a similarity of 0.8 a bit of the sketch differs with a chance of 0.1: more
+#: than 36 of 128 do with one of 2e-9.
 SKETCH_BITS, SKETCH_MOST = 128, 36
-MOST_BROADCAST = 300_000
-#: Up to this size a bucket's open pairs are rows; beyond it they are counted in blocks.
-SMALL_BUCKET, BLOCK = 64, 500
+#: Ways in which a bucket that holds several components is cut finer.
+CUTS = 4
+ROUNDING = 1e-9
 #: A worker holds the shingles of so many documents, and the registers of so many elements.
 SLICE, GROUP_ELEMENTS = 2000, 1 << 17
 
@@ -115,16 +123,18 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def node_of(words: list[str]) -> int | None:
-    """64 bits of a cryptographic hash: two of 10^9 different texts share a node
-    with a chance of 3 %."""
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if words else None
+def name_of(words: list[str]) -> tuple[int, int] | None:
+    """128 bits of a cryptographic hash, in two halves."""
+    if not words:
+        return None
+    digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, keys, s0, s1) for every row; node and the rest
-    are null for texts without words."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
+    """(doc_id, text_key, h1, h2, keys, s0, s1) for every row; h1, h2 name the
+    words. They and the rest are null for texts without words."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches):
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
@@ -132,7 +142,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             for i, t in enumerate(b.column("t")):
                 words = words_of(t.as_py())
                 h = np.unique(shingles(words))
-                rows.append((len(h), i, node_of(words), h))
+                rows.append((len(h), i, name_of(words) or (None, None), h))
             rows.sort(key=lambda r: r[0])  # sets of like size take a like number of rounds
             ids, keys_of = b.column("doc_id"), b.column("text_key")
             at = 0
@@ -151,44 +161,53 @@ def _signed(docs: DataFrame) -> DataFrame:
                     keys += list(bands(sig))
                     s += sketch(sig).tolist()
                 take = pa.array([r[1] for r in group])
-                yield pa.RecordBatch.from_arrays([ids.take(take), keys_of.take(take), pa.array([r[2] for r in group], pa.int64()), pa.array(keys, arrow.field("keys").type), *(pa.array(x, pa.int64()) for x in zip(*s))], schema=arrow)
+                names = (pa.array(x, pa.int64()) for x in zip(*(r[2] for r in group)))
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys_of.take(take), *names, pa.array(keys, arrow.field("keys").type), *(pa.array(x, pa.int64()) for x in zip(*s))], schema=arrow)
 
     picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("t")).withColumn("text_key", F.xxhash64("t"))
-    return picked.mapInArrow(run, "doc_id long, text_key long, node long, keys array<long>, s0 long, s1 long")
+    return picked.mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, keys array<long>, s0 long, s1 long")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """One row per set of words, numbered: (node, h1, h2, keys, s0, s1, rep).
+    The numbers are those written, whatever order a repeated task would give."""
+    each = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.max("doc_id").alias("rep"))
+    return stored(each.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes, recomputed from the texts of their
     representatives, so that the sets of all other texts are never stored."""
-    ids = nodes.join(wanted, "node", "left_semi").select("rep").where("rep is not null").distinct()
+    named = stored(nodes.join(wanted, "node", "left_semi").select("node", "h1", "h2", "rep"))
+    ids = named.select("rep").where("rep is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("t"))
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    known = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.rep, "left_semi")
+    known = texts.join(small(ids), texts.doc_id == ids.rep, "left_semi")
 
     def run(batches):
         for b in batches:
-            rows = [(node_of(w), np.unique(shingles(w)).tobytes()) for t in b.column(0) if (w := words_of(t.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+            rows = [(*name_of(w), np.unique(shingles(w)).tobytes()) for t in b.column(0) if (w := words_of(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)] + [pa.array([r[2] for r in rows], pa.binary())], ["h1", "h2", "shingles"])
 
-    found = known.unionByName(texts.where("doc_id is null")).select("t").mapInArrow(run, "node long, shingles binary")
-    return stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    found = known.unionByName(texts.where("doc_id is null")).select("t").mapInArrow(run, "h1 long, h2 long, shingles binary")
+    return stored(found.join(named.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity): the exact Jaccard similarity of each pair."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose exact Jaccard similarity reaches the bound."""
 
     def run(batches):
         for b in batches:
-            sims = []
+            reached = []
             for x, y in zip(b.column("x"), b.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                sims.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+                reached.append(both >= similarity * (len(x) + len(y) - both) - ROUNDING)
+            kept = b.select(["a", "b"]).filter(pa.array(reached, pa.bool_()))
+            yield kept
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,119 +237,113 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
     members = stored(keyed.join(buckets, "key"))
-    pairs = stored(members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     wanted = stored(members.select("node").distinct())
     if wanted.isEmpty():
         return None
     sets = _shingle_sets(docs, nodes, wanted)
-    first = stored(_verified(pairs, sets))
-    linked = first.where(F.col("similarity") >= similarity).select("a", "b")
-    open_ = _open_members(members, stored(components(linked)))
-    rest = _across(open_.where(F.col("n") <= SMALL_BUCKET), nodes, first, similarity)
-    more = stored(_verified(rest, sets).where(F.col("similarity") >= similarity).select("a", "b"))
-    large = stored(_within_blocks(open_.where(F.col("n") > SMALL_BUCKET), sets, similarity))
-    return linked.unionByName(more).unionByName(large)
-
-
-def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, n, node, comp, major, least): members, except the least ones, of
-    buckets that hold several components; major is the bucket's largest."""
-    comps = comps.withColumnRenamed("node", "cnode")
-    large = members.where("n > 2")  # in buckets of two the only pair is known
-    inside = stored(large.join(comps, large.node == comps.cnode, "left").select("key", "n", "node", "least", F.coalesce("comp", "node").alias("comp")))
-    sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = stored(sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1").select("key", F.col("top.comp").alias("major")))
-    return stored(inside.join(mixed, "key").where("node <> least"))
-
-
-def _across(open_: DataFrame, nodes: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """Pairs in one small bucket, in different components, that may be similar."""
-    far = first.select(F.col("a").alias("node"), F.col("b").alias("least"), (1 - F.col("similarity")).alias("d"))
-    open_ = open_.join(far, ["node", "least"]).join(nodes.select("node", "s0", "s1"), "node")
-    open_ = stored(open_.select("key", "node", "comp", "major", "d", "s0", "s1"))
-    minor = open_.where("comp <> major").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("comp").alias("acomp"), F.col("d").alias("ad"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    differ: Column = F.bit_count(F.col("s0").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a1")))
-    near = (F.col("acomp") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("node")))
-    near &= (F.abs(F.col("ad") - F.col("d")) <= 1 - similarity + 1e-9) & (differ <= SKETCH_MOST)
-    met = minor.join(open_, (F.col("k") == F.col("key")) & near)
-    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def similar_rows(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs of different components (and, with ``side``, of different
-    sides) whose Jaccard similarity reaches the bound. Each set is counted against
-    all others at once, through the lists of sets that hold its elements."""
-    size = np.array([len(s) for s in sets])
-    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    holder = np.repeat(np.arange(len(sets)), size)
-    by_element = holder[np.argsort(element, kind="stable")]
-    count = np.bincount(element)
-    start = np.cumsum(count) - count
-    ends = np.cumsum(size)
-    out = []
-    for i in range(len(sets)):
-        own = element[ends[i] - size[i] : ends[i]]
-        lengths = count[own]
-        at = np.repeat(start[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        both = np.bincount(by_element[at], minlength=len(sets))
-        hit = (both >= similarity * (size + size[i] - both) - 1e-9) & (comp != comp[i])
-        hit[: i + 1] = False
-        if side is not None:
-            hit &= side != side[i]
-        out += [(i, j) for j in np.flatnonzero(hit).tolist()]
-    return out
-
-
-def _within_blocks(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) inside large buckets. A bucket's members are dealt into blocks
-    of bounded size and each pair of blocks is one group, so neither a task nor
-    the plan ever holds a bucket's pairs; only links leave a group."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "key"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def run(table):
-        node = table["node"].to_numpy()
-        found = similar_rows([np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]], table["comp"].to_numpy(), table["block"].to_numpy() if table["i"][0] != table["j"][0] else None, similarity)
-        return pa.table({"a": pa.array([min(node[i], node[j]) for i, j in found], pa.int64()), "b": pa.array([max(node[i], node[j]) for i, j in found], pa.int64())})
-
-    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    pairs = stored(members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    found = _verified(pairs, sets, similarity)
+    # the only pair of a bucket of two is known now, and so are the least node's
+    apart = _apart(members.where("n > 2").select("key", "node", "least"), components(found)).where("node <> least").drop("least")
+    apart = stored(apart)
+    if apart.isEmpty():
+        return found
+    found = stored(found.unionByName(_verified(_finer_pairs(apart, nodes), sets, similarity)))
+    apart = _apart(apart.select("key", "node"), components(found))
+    left = apart.groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("major")).alias("minor"))
+    rare = _rare_shingles(stored(left.join(nodes.select("node", "s0", "s1"), "node")), sets, similarity)
+    return found.unionByName(_verified(_meeting(rare, similarity), sets, similarity))
+
+
+def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``members`` (key, node, ..) of buckets that hold several components, with
+    their component and ``major``, the bucket's largest."""
+    comps = stored(comps).withColumnRenamed("node", "cnode")
+    inside = members.join(comps, members.node == comps.cnode, "left").select(*members.columns, F.coalesce("comp", "node").alias("comp"))
+    inside = stored(inside)
+    sizes = stored(inside.groupBy("key", "comp").agg(F.count("*").alias("size")))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    return inside.join(stored(mixed.select("key", F.col("top.comp").alias("major"))), "key")
+
+
+def _finer_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the representative of its part of a bucket, where
+    it is of another component. A bucket is cut into parts in ``CUTS`` ways,
+    each by 6 bits of the nodes' sketches."""
+    own = stored(apart.join(nodes.select("node", "s0", "s1"), "node"))
+    cut = own.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))  # a fixed number
+    at = "cast(pmod(xxhash64(key, cut), 58) as int)"
+    part = F.expr(f"xxhash64(key, cut, shiftright(if(cut % 2 = 0, s0, s1), {at}) & 63)")
+    mixed = F.expr("node ^ (xxhash64(cut) & 0xFFFFFFFFFF)".replace("0xFFFFFFFFFF", str((1 << 40) - 1)))  # another least node for each cut
+    parts = stored(cut.select("node", "comp", part.alias("part"), mixed.alias("order"), "cut"))
+    first = stored(parts.groupBy("part", "cut").agg(F.min("order").alias("order")).select("part", F.expr(f"order ^ (xxhash64(cut) & {(1 << 40) - 1})").alias("b")))
+    comps = own.select(F.col("node").alias("b"), F.col("comp").alias("bcomp")).distinct()
+    met = stored(parts.join(first, "part").where("node <> b").select(F.col("node").alias("a"), "b", "comp").distinct())
+    met = met.join(comps, "b").where("comp <> bcomp")
+    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _rare_shingles(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, place, size) of each node of ``left``, beside its columns: those
+    of its (1 - t)|x| + 1 rarest shingles that other nodes of ``left`` hold too;
+    place is the number of its shingles that are rarer."""
+
+    def run(batches):
+        for b in batches:
+            for i, x in enumerate(b.column("shingles")):
+                h = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b.column("node")[i].as_py())), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h)], ["node", "size", "shingle"])
+
+    held = left.select("node").join(sets, "node").mapInArrow(run, "node long, size int, shingle long")
+    held = stored(held)
+    shared = stored(held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    common = held.join(shared, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # one text's shingles
+    most = f"size - cast(ceil({similarity} * size - {ROUNDING}) as int) + 1"
+    alone = "(size - size(s))"  # shingles that no other node holds come first
+    rare = common.select("node", "size", F.expr(alone).alias("alone"), F.posexplode(F.expr(f"slice(s, 1, greatest(0, {most} - {alone}))")).alias("i", "e"))
+    rare = stored(rare.select("node", "size", (F.col("alone") + F.col("i")).alias("place"), F.col("e.shingle").alias("shingle")))
+    return stored(rare.join(left, "node"))
+
+
+def _meeting(rare: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes of different components that meet in a rare shingle and may
+    reach the similarity, as far as sizes, places and sketches tell."""
+    x = rare.where("minor").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "size", "place", "s0", "s1")))
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("x_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("x_s1")))
+    need = (F.col("size") + F.col("x_size")) * (similarity / (1 + similarity)) - ROUNDING
+    able = F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place")) >= need
+    able &= F.least("size", "x_size") >= F.greatest("size", "x_size") * similarity - ROUNDING
+    once = ~F.col("minor") | (F.col("node") > F.col("x_node"))
+    met = x.join(rare, (x.shingle == rare.shingle) & (F.col("comp") != F.col("x_comp")) & once & able & (differ <= SKETCH_MOST))
+    return stored(met.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct())
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, text_key (xxhash64 of its text), class_id (the largest
     doc_id of its class), class_size and kept."""
-    rows = stored(_signed(docs))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.max("doc_id").alias("rep")))
+    rows = stored(_signed(docs).withColumn("row", F.monotonically_increasing_id()))  # to tell repeated rows apart
+    nodes = _nodes(rows)
     found = links(docs, nodes, similarity)
-    rows = rows.select("doc_id", "text_key", "node")
-    if found is None:
-        named = rows.withColumn("comp", F.col("node"))
-    else:
-        comps = stored(components(found)).withColumnRenamed("node", "cnode")
-        named = rows.join(comps, rows.node == comps.cnode, "left").select("doc_id", "text_key", "node", F.coalesce("comp", "node").alias("comp"))
-    # ranked before the join, whose exchange on the class can then be split where a class is hot
-    among_same = F.row_number().over(Window.partitionBy("comp", "doc_id").orderBy("text_key"))
-    named = stored(named.withColumn("again", among_same))
-    groups = stored(named.where("comp is not null").groupBy("comp").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1"))
+    rows = rows.select("doc_id", "text_key", "row", "h1", "h2")
+    if found is not None:
+        # a class goes by the name of its least node
+        names = nodes.select("node", "h1", "h2")
+        roots = names.select(F.col("node").alias("comp"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+        moved = stored(stored(components(found)).join(names, "node").join(roots, "comp").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "c1", "c2"))
+        rows = rows.join(moved, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left")
+        rows = stored(rows.select("doc_id", "text_key", "row", F.coalesce("c1", "h1").alias("h1"), F.coalesce("c2", "h2").alias("h2")))
+    groups = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("n")).where("n > 1")
     single = F.col("n").isNull()
-    return named.join(groups, "comp", "left").select(
+    return rows.join(stored(groups), ["h1", "h2"], "left").select(
         "doc_id",
         "text_key",
-        F.when(single, F.col("doc_id")).otherwise(F.col("top")).alias("class_id"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("class_size"),
-        (single | (F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("again") == 1))).alias("kept"),
+        (single | (F.col("row") == F.col("top.row"))).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, with all their columns: one of each class."""
-    marked = classes(docs, similarity)
-    by_row = stored(marked.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("n_kept")).where("not kept or n_kept < n"))
-    gone = by_row.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__t"))
-    left = docs.withColumn("__k", F.xxhash64(text_or_empty()))
-    left = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__t")), "left_anti")
-    if not by_row.where("kept").isEmpty():
-        left = left.dropDuplicates(["doc_id", "__k"])
-    return left.drop("__k")
+    marked = stored(classes(docs, similarity).select("doc_id", "text_key", "kept"))
+    return without(docs, marked, "text_key", F.xxhash64(text_or_empty()))
