@@ -12,8 +12,11 @@ Characters outside the vocabulary become bytes. Models that are not BPE, or that
 normalise more than by a space in front, are an error.
 
 Cases: null texts equal empty ones and have no token. Repeated rows are encoded
-each. An empty table gives no rows. Texts and words of any length are encoded
-whole (long words by a heap). Other columns are ignored.
+each. Of equally ranked pairs the leftmost is joined first. An empty table gives
+no rows. Texts and words of any length are encoded whole: words of more than
+``LONG`` characters are cut where no piece holds both neighbours, which changes
+nothing, and what remains is indexed ``INDEX_CHARS`` characters at a time and
+reduced by a heap, in some 100 bytes a character. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -48,7 +52,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     prefix doubling. Codes below 0 end a segment and sort first."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
     order, step, n = np.argsort(rank, kind="stable"), 1, len(codes)
-    while step < depth:
+    while step < min(depth, n):  # beyond the end nothing tells suffixes apart
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:]
         key = rank * (n + 2) + after
@@ -145,6 +149,9 @@ class Codec:
         self.codes = np.full((len(self.normal), self.lengths.max()), -3, np.int64)
         for row, i in enumerate(self.normal):
             self.codes[row, : self.lengths[row]] = [ord(c) for c in self.pieces[i]]
+        self.kind = np.int16 if n < 1 << 15 else np.int32  # of piece numbers
+        inside = np.arange(self.codes.shape[1] - 1) < self.lengths[:, None] - 1
+        self.neighbours = np.unique((self.codes[:, :-1] << 21 | self.codes[:, 1:])[inside])
         # segments are independent unless a piece holds a space after other characters
         self.by_segment = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in self.normal)
         self.known: dict[str, bytes] = {}
@@ -155,7 +162,16 @@ class Codec:
         if not text:
             return []
         whole = SPACE + text.replace(" ", SPACE)
-        return _SEGMENT.findall(whole) if self.by_segment else [whole]
+        cut = _SEGMENT.findall(whole) if self.by_segment else [whole]
+        return cut if max(map(len, cut)) <= LONG else [x for s in cut for x in ([s] if len(s) <= LONG else self.parts(s))]
+
+    def parts(self, segment: str) -> list[str]:
+        """The segment cut between characters that no piece holds side by side:
+        no join crosses such a place."""
+        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.int32).astype(np.int64)
+        apart = np.flatnonzero(~np.isin(codes[:-1] << 21 | codes[1:], self.neighbours)) + 1
+        cuts = [0, *apart.tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def edges(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The piece at each position of the concatenated text by its length - 1
@@ -169,40 +185,54 @@ class Codec:
         counts = hi - lo
         first = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         position = order[first + np.arange(counts.sum())]
-        at = np.full((len(codes), self.codes.shape[1]), -1, np.int32)
+        at = np.full((len(codes), self.codes.shape[1]), -1, self.kind)
         at[position, np.repeat(self.lengths, counts) - 1] = np.repeat(self.normal, counts)
         return at, starts
 
+    def edges_of_long(self, segment: str) -> np.ndarray:
+        """The edges of one segment, found in one index after another; each
+        reaches as far into the next one as the longest piece."""
+        width = self.codes.shape[1]
+        out = np.empty((len(segment), width), self.kind)
+        for at in range(0, len(segment), INDEX_CHARS):
+            part = segment[at : at + INDEX_CHARS]
+            out[at : at + len(part)] = self.edges([segment[at : at + INDEX_CHARS + width]])[0][: len(part)]
+        return out
+
     def relax_long(self, edges: np.ndarray, segment: str) -> bytes:
-        """Ids of one segment, whose edges are given, as 16-bit numbers."""
+        """Ids of one segment, whose edges are given, as 16-bit numbers. The heap
+        holds rank, place and length of a join in one number each."""
         n, width, rank = len(segment), edges.shape[1], self.rank
-        rows = edges[:n].tolist() if n <= INDEX_CHARS else edges  # a list takes several times the memory
-        nexts, alive = list(range(1, n + 1)), [True] * n
-        before = list(range(-1, n - 1))
-        heap: list = []
+        bits = width.bit_length()
+        rows = edges[:n].tolist() if n <= 100 * LONG else edges  # a list is faster and takes several times the memory
+        nexts, alive = array("i", range(1, n + 1)), bytearray(b"\1") * n
+        before = array("i", range(-1, n - 1))
+        heap: list[int] = []
 
         def offer(i: int, end: int) -> None:
             if end - i <= width and (p := rows[i][end - i - 1]) >= 0:
-                heapq.heappush(heap, (int(rank[p]), i, end))
+                heapq.heappush(heap, (int(rank[p]) << 40 | i) << bits | end - i)
 
         for i in range(n - 1):
             offer(i, i + 2)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top >> bits & (1 << 40) - 1
+            end = i + (top & (1 << bits) - 1)
             middle = nexts[i] if alive[i] else n
             if middle >= n or nexts[middle] != end:
                 continue  # one side has been joined meanwhile
-            alive[middle] = False
+            alive[middle] = 0
             nexts[i] = end
             if end < n:
                 before[end] = i
                 offer(i, nexts[end])
             if before[i] >= 0:
                 offer(before[i], end)
-        ids, i = [], 0
+        ids, i = array("H"), 0
         while i < n:
             end = nexts[i]
-            ids += self._named(rows[i][end - i - 1] if end - i <= width else -1, segment[i:end])
+            ids.extend(self._named(int(rows[i][end - i - 1]) if end - i <= width else -1, segment[i:end]))
             i = end
         return np.array(ids, "<u2").tobytes()
 
@@ -282,6 +312,11 @@ class Codec:
 
     def _index(self, batch: list[str]) -> None:
         batch.sort(key=len)
+        while batch and len(batch[-1]) > INDEX_CHARS:
+            s = batch.pop()
+            self.known[s] = self.relax_long(self.edges_of_long(s), s)
+        if not batch:
+            return
         edges, starts = self.edges(batch)
         at = 0
         while at < len(batch) and len(batch[at]) <= LONG:
