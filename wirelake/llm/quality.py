@@ -4,8 +4,9 @@ Features are hashed indicators of n-grams: words and word pairs in lower case,
 and runs of up to three word shapes (letters, digits and marks of a token, "="
 for a token that repeats its predecessor). Each indicator is scaled by the
 log-ratio of its smoothed frequency in the two classes; a linear model with
-hinge loss is fitted on them by dual coordinate descent and mixed with the
-mean weight, as in the published method. Held-in cross-fitting gives decision
+hinge loss is fitted on them by dual coordinate descent and interpolated with
+its mean magnitude, (1 - b) mean|w| + b w with b = 0.25, as in the published
+method. Held-in cross-fitting gives decision
 values for a logistic calibration, so a score is a probability.
 
 The model is fitted on at most ``max_rows`` labelled documents, those whose
@@ -13,10 +14,12 @@ hashed id is least, in one task; scoring reads every whole text where it lies.
 
 Cases: labels other than 0 and 1 and labels without a document are ignored;
 of several labels of a document the largest counts, of several rows with one
-id one is learned from. Null and empty texts have no n-gram and get the
+id one is learned from. Very long texts are read whole; a worker holds one text's
+terms at a time. Null and empty texts have no n-gram and get the
 intercept's score. Where fewer than two classes are known every score is the
 class's share (0.5 without labels). Ties and repeated rows get equal scores.
-An empty table gives no rows. Columns other than id and text are ignored.
+An empty table gives no rows. Columns other than id and text are ignored by
+``fit`` and kept by ``score``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import TermCache, crc_bucket, mix64, text_or_empty
+from .common import TermCache, crc_bucket, fresh, mix64, text_or_empty
 
 BITS = 18
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
+#: Published: how much a weight keeps of its own beside the mean magnitude.
+INTERPOLATION = 0.25
 
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(\W)\1*|_+")
 
@@ -94,8 +100,9 @@ def log_ratios(rows: list[np.ndarray], y: np.ndarray, least: int = 3) -> np.ndar
     return np.where(count[0] + count[1] >= least, ratio, 0.0)
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights (scaled back to indicators) and bias of the hinge-loss model."""
+def hinge_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 0, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights of the scaled indicators and bias of the hinge-loss model; both
+    classes weigh the same."""
     x = [ratio[r] / max(1.0, len(r)) ** 0.5 for r in rows]
     diagonal = np.array([v @ v + 1.0 for v in x])
     side = {s: c * len(y) / (2 * max(1, int((y == s).sum()))) for s in (1, -1)}
@@ -110,11 +117,17 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: fl
                 b += step
                 alpha[i] = new
                 most = max(most, abs(step))
-        if most < 1e-3:
+        if most < tolerance:
             break
+    return w, b
+
+
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Interpolated weights (scaled back to indicators) and bias."""
+    w, b = hinge_weights(rows, y, ratio)
     used = np.flatnonzero(w)
     mean = np.abs(w[used]).mean() if len(used) else 0.0
-    mixed = 0.75 * w + 0.25 * mean * (w != 0)
+    mixed = INTERPOLATION * w + (1 - INTERPOLATION) * mean * (w != 0)
     return mixed * ratio, b
 
 
@@ -181,13 +194,14 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` plus the score as ``name`` (instead of a column of
     that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights
+    out = docs.drop(name)
+    (text,) = fresh(docs, "whole_text")
 
     def run(batches):
         for b in batches:
-            s = [shared.value.score(features(t.as_py() or "")) for t in b.column("__text")]
-            keep = b.select([n for n in b.schema.names if n != "__text"])
+            s = [shared.value.score(features(t.as_py() or "")) for t in b.column(text)]
+            keep = b.select([n for n in b.schema.names if n != text])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(s, pa.float64())], names=[*keep.schema.names, name])
 
-    out = docs.drop(name)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + f", `{name}` double"
-    return out.withColumn("__text", text_or_empty()).mapInArrow(run, schema)
+    schema = StructType([StructField(f.name, f.dataType) for f in out.schema.fields] + [StructField(name, DoubleType())])
+    return out.withColumn(text, text_or_empty()).mapInArrow(run, schema)
