@@ -1,21 +1,30 @@
 """Harmonic packing of token sequences.
 
-A document's ids (with one closing id 0) are cut into pieces whose lengths are
-reciprocals of the capacity: as many whole sequences as fit, then the binary
-digits of the rest. A piece of length C/k belongs to class k, whose bins hold
-exactly k pieces and are then full. Each worker fills the bins of each class
-on its own, so nothing is shuffled. What a worker's last, unfilled bin of a
-class holds is split into bins of 2^j pieces; their lengths are powers of two
-too, so no sequence needs padding.
+A document's ids (with one closing id 0) are cut into pieces. A piece of length
+n belongs to the reciprocal class k = capacity // n, capacity/(k + 1) < n <=
+capacity/k, whose bins hold exactly k pieces each. Because documents may be cut,
+a piece is chosen to fill its class: what is left of a document is one piece
+where k of its length leave at most 1/``SLACK`` of a sequence empty, as every
+length from class ``SLACK`` on does; else the longest reciprocal that is shorter,
+capacity // (k + 1), is cut off and the rest goes on the same way.
+
+Each worker fills the bins of each class on its own, so nothing is shuffled.
+What its last, unfilled bins hold at its end is packed together, longest pieces
+first, each into the gap that it fills best. Sequences are padded to the
+capacity by whoever reads them; their lengths and offsets tell where.
 
 Cases: null and empty texts are one piece holding id 0. Repeated rows and
-repeated or null ids are packed as often as they occur. An empty table gives
-no rows. A document of any length is cut as it stands; columns other than the
-id and the text are ignored, so clashing names do no harm.
+repeated or null ids are packed as often as they occur; ties in length keep the
+order of the rows. An empty table gives no rows. A document of any length is cut
+as it stands, and an open bin holds copies of its pieces only; columns other than
+the id and the text are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,53 +37,74 @@ from .tokens import default_tokenizer, encode
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The part of a sequence that a class may leave empty is one in so many.
+SLACK = 64
+
+
+@cache
+def _first_cut(rest: int, capacity: int) -> int:
+    """The length of the first piece of ``rest`` ids."""
+    if rest >= capacity:
+        return capacity
+    k = capacity // rest
+    return rest if (capacity - k * rest) * SLACK <= capacity else capacity // (k + 1)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole sequences, then the binary
-    digits of the rest, largest first."""
-    out = [(at, capacity) for at in range(0, n - capacity + 1, capacity)]
-    at, rest, size = len(out) * capacity, n % capacity, capacity >> 1
-    while rest:
-        if rest >= size:
-            out.append((at, size))
-            at, rest = at + size, rest - size
-        size >>= 1
+    """(start, length) of the pieces of n ids, in order, without gaps."""
+    out, at = [], 0
+    while at < n:
+        length = _first_cut(min(n - at, capacity), capacity)
+        out.append((at, length))
+        at += length
     return out
 
 
 class Bins:
-    """One worker's open bins. ``put`` gives a piece's sequence and offset once
-    its bin is known; pieces wait while their bin is open."""
+    """One worker's open bins. ``put`` gives a class's pieces with their sequence
+    and offset once its bin is full; pieces wait while their bin is open."""
 
     def __init__(self, capacity: int, worker: int):
         self.capacity, self.next_id = capacity, worker << 40
         self.open: dict[int, list] = {}
 
-    def _close(self, pieces: list, length: int):
-        sequence, self.next_id = self.next_id, self.next_id + 1
-        for i, piece in enumerate(pieces):
-            yield (*piece, sequence, i * length)
+    def _close(self, pieces: list):
+        sequence, self.next_id, offset = self.next_id, self.next_id + 1, 0
+        for piece, length in pieces:
+            yield (*piece, sequence, offset)
+            offset += length
 
     def put(self, piece: tuple, length: int):
-        bin_ = self.open.setdefault(length, [])
-        bin_.append(piece)
-        if len(bin_) * length == self.capacity:
-            yield from self._close(self.open.pop(length), length)
+        k = self.capacity // length
+        bin_ = self.open.setdefault(k, [])
+        bin_.append((piece, length))
+        if len(bin_) == k:
+            yield from self._close(self.open.pop(k))
 
     def finish(self):
-        for length, bin_ in sorted(self.open.items()):
-            at = 0
-            while at < len(bin_):
-                n = 1 << ((len(bin_) - at).bit_length() - 1)
-                yield from self._close(bin_[at : at + n], length)
-                at += n
-        self.open = {}
+        """What is left, of all classes: best fit by descending length. At most
+        k - 1 pieces of each class wait here."""
+        by_length: dict[int, list] = {}
+        for k in sorted(self.open):
+            for item in self.open[k]:
+                by_length.setdefault(item[1], []).append(item)
+        self.open, lengths = {}, sorted(by_length)
+        while lengths:
+            bin_, gap = [], self.capacity
+            while (at := bisect_right(lengths, gap)) and gap:
+                length = lengths[at - 1]
+                bin_.append(by_length[length].pop(0))
+                gap -= length
+                if not by_length[length]:
+                    del lengths[at - 1]
+            yield from self._close(bin_)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence,
-    its crc32 and, with ``with_ids``, its ids. ``capacity`` is a power of two."""
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity has to be a power of two")
+    its crc32 and, with ``with_ids``, its ids."""
+    if capacity < 1:
+        raise ValueError("capacity has to be 1 or more")
     path = tokenizer or default_tokenizer()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     arrow = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int32()))] * with_ids)
@@ -89,7 +119,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, wi
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([*encode(text.as_py(), path), 0], np.uint32)
                 for start, length in cuts(len(ids), capacity):
-                    part = ids[start : start + length]
+                    part = ids[start : start + length].copy()  # a view would keep the whole document
                     piece = (doc, start, length, crc32_u32(part), len(ids))
                     for row in bins.put((*piece, part) if with_ids else piece, length):
                         rows.append(order(row))
