@@ -1,19 +1,24 @@
 """HTML extraction: two-pass block rules.
 
 A page is cut into text blocks at block-level tags. The first pass decides a
-block by where it stands and by its density: blocks inside navigation, forms,
+block by where it stands and by its density. Blocks inside navigation, forms,
 footers, asides and containers named as adverts, notices, sidebars or comments
-are boilerplate, as are blocks made of links, inside the article too; other
-blocks inside the article are content, whatever their density. Outside it, also
-on pages that have one, long blocks with a fair share of stop words are content,
-long ones without are boilerplate, and short blocks stay open. In the second pass
-an open block inherits the label of its nearest decided neighbours: content if
-both sides are content, else the label of the nearer one.
+are boilerplate. All other blocks inside the article are content, links and
+lists too, whatever their density. Outside it, also on pages that have one,
+blocks made of links are boilerplate, long blocks with a fair share of stop words
+are content, and long ones without are boilerplate, unless they are written in
+sentences: these stay open, as short blocks do. On pages of a language that the
+list of stop words doesn't serve (hardly any in all long blocks), length and link
+density alone decide. In the second pass an open block inherits the label of its
+nearest decided neighbours: content if both sides are content, else the label of
+the nearer one, the one before it where both are as near. A heading goes with
+what follows it. On a page where nothing is decided all blocks are content.
 
 Cases: null html equals an empty page; pages without content give an empty
-text. Repeated rows are extracted each. Unclosed tags, comments and scripts end
-with the page. An empty table gives no rows. Very long pages are read whole, in
-linear time. Columns other than page_id, url and html are ignored.
+text. Repeated rows are extracted each. Ties between neighbours go to the one
+before. Unclosed tags, comments and scripts end with the page. An empty table
+gives no rows. Very long pages are read whole, in linear time. Columns other than
+page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +35,19 @@ from .common import text_or_empty
 
 # fixed values: tag names of HTML
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas head title textarea select button".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas head title textarea select button".split())
 RAW_TAGS = frozenset("script style textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 GOOD_TAGS = frozenset("article main".split())
-# words in class, id and role that name what isn't the article
-BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe subscription signup login search pagination pager skip adslot adbox adsense complementary contentinfo".split())
+# words in class, id and role that name what isn't the article: the first list
+# wherever they stand in a name, the second where the rest of the name, too, is
+# of these lists (related-articles, but not related-work)
+BAD_NAMES = frozenset("advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies gdpr sidebar navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar disqus newsletter pagination pager adslot adbox adsense complementary contentinfo".split())
+WEAK_NAMES = frozenset("ad ads consent notice notices alert popup modal overlay side aside widget widgets nav menu header comment comments reply replies respond related recommended share sharing social subscribe subscription signup login search skip".split())
+LAYOUT_NAMES = frozenset("area articles bar block body box button buttons container content form global group holder icons inner item items js left link links list main message module outer page panel posts primary right secondary section site slot stories text title top unit wrap wrapper".split())
 # words that make a name one of the page's layout
-LAYOUT_NAMES = frozenset("with has no without layout".split())
+PAGE_NAMES = frozenset("with has no without layout".split())
 # common function words of the languages served
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its of on or that the this to was were which will with not but they you his her "
@@ -49,11 +58,17 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LINKS_MOST = 0.5
 STOP_LEAST = 0.2
+#: Under this share of stop words in all its long blocks a page's language isn't served.
+SERVED_LEAST = 0.04
 
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW_TAGS}
+# letters of scripts without spaces, which say as much as several Latin ones
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_SENTENCE = re.compile(r"[.!?\u0964\u06d4](?:[\"')\]\u2019\u201d]*\s|$)|[\u3002\uff01\uff1f]")
 
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -83,16 +98,18 @@ def _tag_end(page: str, at: int) -> int:
 
 def _bad_name(attributes: str, in_article: bool) -> bool:
     """Whether class, id or role name boilerplate, or the element is hidden. A
-    name that tells of a page's layout (with-sidebar) names the whole page, and
-    a header inside an article is the article's."""
+    name that tells of a page's layout (with-sidebar) names the whole page; inside
+    an article a header is the article's, and a name counts as a whole only."""
     for name, value in _ATTR.findall(attributes):
         low = name.lower()
         if low in ("class", "id", "role"):
             for token in value.strip("\"'").split():
                 parts = {p.lower() for p in _PARTS.findall(token)}
-                if parts & LAYOUT_NAMES or (in_article and parts & {"header", "masthead"}):
+                if parts & PAGE_NAMES or (in_article and parts & {"header", "masthead"}):
                     continue
-                if parts & BAD_NAMES:
+                named = parts & BAD_NAMES, parts & WEAK_NAMES
+                whole = not parts - BAD_NAMES - WEAK_NAMES - LAYOUT_NAMES
+                if (any(named) and whole) or (named[0] and not in_article):
                     return True
         elif low == "hidden" or (low == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
@@ -101,7 +118,7 @@ def _bad_name(attributes: str, in_article: bool) -> bool:
 
 def _events(page: str):
     """("text", s), ("open", name, attributes), ("close", name)."""
-    at, n, low = 0, len(page), None
+    at, n = 0, len(page)
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -128,11 +145,10 @@ def _events(page: str):
                 continue
             yield "open", name, page[m.end() : end]
             if name in RAW_TAGS and page[end - 1 : end] != "/":
-                low = page.lower() if low is None else low
-                low = low if len(low) == n else page  # lower case may change lengths
-                close = low.find(f"</{name}", at)
-                yield "text", page[at : n if close < 0 else close], ""
-                at = n if close < 0 else close
+                close = _RAW_END[name].search(page, at)
+                end = close.start() if close else n
+                yield "text", page[at:end], ""
+                at = end
 
 
 def blocks(page: str) -> list[Block]:
@@ -190,41 +206,62 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def stop_density(text: str) -> float:
+def _stops(text: str) -> tuple[int, int]:
     words = text.lower().split()
-    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), max(1, len(words))
 
 
-def first_pass(b: Block) -> int:
-    if b.place == BAD:
-        return BAD
-    if b.place == GOOD:
-        return BAD if b.linked > LINKS_MOST * len(b.text) and not b.heading else GOOD
+def stop_density(text: str) -> float:
+    n, words = _stops(text)
+    return n / words
+
+
+def weight(text: str) -> int:
+    """Length in Latin letters."""
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
+def served(found: list[Block]) -> bool:
+    """Whether the stop words are those of the page's language."""
+    counts = [_stops(b.text) for b in found if b.place != BAD and weight(b.text) >= SHORT and b.linked <= LINKS_MOST * len(b.text)]
+    return sum(n for n, _ in counts) >= SERVED_LEAST * sum(w for _, w in counts)
+
+
+def first_pass(b: Block, by_stops: bool = True) -> int:
+    if b.place != OPEN:
+        return b.place
     if b.linked > LINKS_MOST * len(b.text) or b.text.startswith(("©", "Copyright")):
         return BAD
-    if len(b.text) < SHORT or b.heading:
+    size = weight(b.text)
+    if size < SHORT or b.heading:
         return OPEN
-    return GOOD if stop_density(b.text) >= STOP_LEAST else BAD if len(b.text) < LONG or stop_density(b.text) < STOP_LEAST / 2 else GOOD
+    if not by_stops:
+        return GOOD
+    density = stop_density(b.text)
+    if density >= STOP_LEAST or (size >= LONG and density >= STOP_LEAST / 2):
+        return GOOD
+    return OPEN if len(_SENTENCE.findall(b.text)) >= 2 else BAD
 
 
 def classify(found: list[Block]) -> list[int]:
-    first = [first_pass(b) for b in found]
+    by_stops = served(found)
+    first = [first_pass(b, by_stops) for b in found]
     n = len(first)
-    before, after, last = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n, (BAD, -1)
+    nowhere = (OPEN, n + 1)  # no decided block on that side
+    before, after, last = [nowhere] * n, [nowhere] * n, None
     for i in range(n):
         last = (first[i], i) if first[i] != OPEN else last
-        before[i] = (last[0], i - last[1])
-    last = (BAD, n)
+        before[i] = (last[0], i - last[1]) if last else nowhere
+    last = None
     for i in reversed(range(n)):
         last = (first[i], i) if first[i] != OPEN else last
-        after[i] = (last[0], last[1] - i)
+        after[i] = (last[0], last[1] - i) if last else nowhere
     out = []
     for label, left, right, b in zip(first, before, after, found):
         if label == OPEN:
-            both = left[0] == right[0]
-            nearer = left if left[1] < right[1] else right
-            label = left[0] if both else GOOD if b.heading and right[0] == GOOD else nearer[0]
-        out.append(label)
+            nearer = left if left[1] <= right[1] else right
+            label = GOOD if b.heading and right[0] == GOOD else nearer[0]
+        out.append(label if label != OPEN else GOOD)  # a page of short blocks only
     return out
 
 

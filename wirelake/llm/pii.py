@@ -2,25 +2,31 @@ r"""Personal data: information-theoretic sanitisation, in DataFrame operations.
 
 Base kinds (email, ip, card, phone) are found by linear-time patterns. The
 values found are the protected entities. The corpus then tells which terms
-reveal them: for every entity seen in at least ``MIN_SUPPORT`` different
-contexts, the terms around it are counted with it and in all documents, and a
-term's disclosure is its pointwise mutual information with the entity over the
-entity's own information, log(N n_te / (n_t n_e)) / log(N / n_e): 1 when the
-term never occurs without the entity. Terms at or above ``DISCLOSURE`` are
-protected in every document that holds the entity, as spans of kind ``term``.
-Contexts are told apart by their least hashed word, so copies of a passage,
+reveal them. All counts are of documents: n_e that hold the entity, n_t that
+hold the term, n_te that hold both (the term outside base spans, anywhere in the
+text), N in all. A term's disclosure is its pointwise mutual information with
+the entity over the entity's own information,
+
+    log(N n_te / (n_t n_e)) / log(N / n_e),
+
+1 where the term never occurs without the entity, at most 1 always. A term at or
+above ``DISCLOSURE`` for any entity is protected in every document that holds
+it, as a span of kind ``term``. Entities and pairs count from ``MIN_SUPPORT``
+contexts: a term's context is the words beside it, a document's the least of its
+terms' contexts, by hash in ``CONTEXTS`` classes. So copies of a text or passage,
 edited ones mostly too, are one context and no evidence of their own.
 
-``redact`` generalises base values to their kind and replaces revealing terms.
+``redact`` generalises base values to their kind and removes revealing terms.
 
-The counting is skipped where no entity has the support. No text is shuffled
-for it: contexts are taken where the text is read, and terms are counted there
-before they move.
+The counting is skipped where no entity has the support. Texts are not shuffled
+for it: words are taken where the text is read. Terms too frequent to reach the
+threshold with any entity, n_t > n_e^d N^(1-d), or held by fewer documents than
+the support asks for are left out before pairs are formed, which changes nothing.
 
 Cases: null texts equal empty ones and have no spans. Repeated rows and ties
 count as often as they occur (their contexts once). Empty tables give no rows;
 columns of any other name are kept by ``redact``. Null ids are kept. Very long
-texts are searched whole, in linear time per match.
+texts and any number of matches are searched whole, in linear time per pattern.
 """
 
 from __future__ import annotations
@@ -28,14 +34,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
-from .spans import described, replaced, with_spans
+from .common import small, stored, text_or_empty
+from .spans import NONE, described, with_replaced, with_spans
 
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
-#: Documents with revealing terms are broadcast up to this many, joined beyond it.
-MOST_BROADCAST = 100_000
-WINDOW = 80
+CONTEXTS = 64
 
 _DIGITS = "regexp_replace($v, '[^0-9]', '')"
 _PART = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -60,59 +64,78 @@ def _based(df: DataFrame, text: str = "__t", prefix: str = "") -> DataFrame:
     return df
 
 
+def _words(text: str) -> str:
+    """SQL: the terms of ``text`` in order: lower-case words of three letters or more."""
+    return rf"filter(split(lower({text}), r'[^\p{{L}}]+'), y -> char_length(y) > 2)"
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, email, ip, card, phone, contexts): per row the spans
-    by kind; contexts holds each entity with the words around it."""
+    """(doc_id, text_key, email, ip, card, phone, entities, words): per row the
+    spans by kind; where there are any, the distinct entities and the distinct
+    terms outside the spans, each with the least of its contexts."""
     rows = docs.select("doc_id", text_or_empty().alias("__t")).withColumn("text_key", F.xxhash64("__t"))
     rows = _based(rows)
     value = {"email": "lower(x.v)", "ip": "x.v", "card": _DIGITS.replace("$v", "x.v"), "phone": _DIGITS.replace("$v", "x.v")}
-    around = "split(lower(concat(substring(__t, greatest(x.s - {w}, 0) + 1, least(x.s, {w})), ' ', substring(__t, x.e + 1, {w}))), r'[^\\p{{L}}]+', -1)".format(w=WINDOW)
-    each = ", ".join(f"transform({k}, x -> named_struct('entity', concat('{k}:', {value[k]}), 'words', array_distinct(filter({around}, y -> char_length(y) > 2))))" for k in KINDS)
-    return rows.select("doc_id", "text_key", *KINDS, F.expr(f"concat({each})").alias("contexts"))
+    each = ", ".join(f"transform({k}, x -> concat('{k}:', {value[k]}))" for k in KINDS)
+    blank = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'r', ''))" for k in KINDS)
+    rows = with_replaced(rows.withColumn("blank", F.expr(f"array_sort(concat({blank}))")), "outside", "__t", "blank", blank=True)
+    rows = rows.withColumn("seq", F.expr(f"if(size(blank) > 0, {_words('outside')}, cast(array() as array<string>))"))
+    rows = rows.withColumn("placed", F.expr("array_sort(transform(seq, (w, i) -> named_struct('term', w, 'c', xxhash64(get(seq, i - 1), get(seq, i + 1)))))"))
+    words = "filter(placed, (x, i) -> i = 0 or x.term <> get(placed, i - 1).term)"
+    return rows.select("doc_id", "text_key", *KINDS, F.expr(f"array_distinct(concat({each}))").alias("entities"), F.expr(words).alias("words"))
+
+
+def _supported(context: str) -> list:
+    """Aggregates: documents, and classes of contexts."""
+    seen = F.expr(f"bit_count(bit_or(shiftleft(1L, cast(pmod({context}, {CONTEXTS}) as int))))")
+    return [F.count("*").alias("n"), seen.alias("n_ctx")]
 
 
 def disclosed(docs: DataFrame, base: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame | None:
-    """(entity, terms): the terms that reveal an entity; None where no entity
-    has the support."""
-    seen = base.where("size(contexts) > 0").select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.entity", "c.words")
-    seen = seen.withColumn("context", F.xxhash64("words"))
-    contexts = seen.groupBy("entity", "context").agg(F.count("*").alias("n"))
-    entities = stored(contexts.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("n_ctx")).where(F.col("n_ctx") >= min_support))
-    if entities.isEmpty():
-        return None
-    # around a term, contexts are told apart by their least word: edited copies mostly share it
-    around = F.expr("transform(words, w -> named_struct('term', w, 'context', array_min(transform(filter(words, x -> x <> w), x -> xxhash64(x)))))")
-    words = seen.join(entities.select("entity"), "entity", "left_semi").select("entity", F.inline(around))
-    together = words.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    together = stored(together.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_ctx")).where(F.col("n_ctx") >= min_support).drop("n_ctx"))
-    terms = stored(together.select("term").distinct())
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))).alias("term"))
-    n_t = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    total = docs.agg(F.count("*").alias("n_all"))
-    counted = together.join(entities.drop("n_ctx"), "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # one row
+    """(entity, term, n_e, n_t, n_te, n_all, disclosure): the terms that reveal
+    an entity; None where no entity has the support. ``base`` is stored."""
+    held = stored(base.where("size(entities) > 0").select("entities", "words").withColumn("row", F.monotonically_increasing_id()))
+    least = F.expr("coalesce(array_min(transform(words, x -> x.c)), 0L)")
+    seen = held.select("row", least.alias("m"), F.explode("entities").alias("entity"))
+    support = seen.groupBy("entity").agg(*_supported("m")).where(F.col("n_ctx") >= min_support)
+    n_all = docs.count()
     # an entity in every document carries no information that a term could reveal
-    ratio = F.expr("try_divide(ln(n_all * n_te / (n_t * n_e)), ln(n_all / n_e))")
-    return stored(counted.where(ratio >= disclosure).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    entities = stored(support.where(F.col("n") < n_all).select("entity", F.col("n").alias("n_e")))
+    most = entities.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return None
 
+    def bound(n_e: str) -> str:
+        return f"pow({n_e}, {disclosure}D) * pow({n_all}D, {1 - disclosure}D) * (1 + 1e-9)"
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+    every = docs.select(F.explode(F.array_distinct(F.expr(_words("coalesce(text, '')")))).alias("term"))
+    terms = every.groupBy("term").agg(F.count("*").alias("n_t")).where(f"n_t >= {min_support} and n_t <= {bound(f'{most}D')}")
+    known = seen.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("known"))  # one text's entities
+    words = held.join(known, "row").select("known", F.inline("words"))
+    met = words.join(stored(terms), "term").select("term", "n_t", "c", F.explode(F.expr(f"filter(known, k -> n_t <= {bound('k.n_e')})")).alias("k"))
+    pairs = met.select("term", "n_t", "k.*", "c").groupBy("entity", "term", "n_e", "n_t").agg(*_supported("c")).where(F.col("n_ctx") >= min_support)
+    pairs = pairs.select("entity", "term", "n_e", "n_t", F.col("n").alias("n_te"), F.lit(n_all).alias("n_all"))
+    measure = F.expr("ln(1D * n_all * n_te / (1D * n_t * n_e)) / ln(1D * n_all / n_e)")
+    return stored(pairs.withColumn("disclosure", measure).where(F.col("disclosure") >= disclosure - 1e-12))
 
 
 def _with_terms(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text_key, term): spans of revealing terms, outside base spans,
     one row per document and text that has any."""
-    held = base.where("size(contexts) > 0").select("doc_id", "text_key", F.explode("contexts.entity").alias("entity"))
-    by_row = held.join(found, "entity").select("doc_id", "text_key", F.explode("terms").alias("w")).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("w")).alias("terms"))
-    taken = base.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), F.concat(*KINDS).alias("base")).dropDuplicates(["i", "k"])
-    by_row = by_row.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "terms", "base")
     texts = docs.select("doc_id", text_or_empty().alias("__t")).withColumn("text_key", F.xxhash64("__t"))
-    by_row = _small(stored(by_row))
-    rows = texts.join(by_row, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
-    # words with their positions; longer terms need no precedence, words are whole
-    rows = with_spans(rows, "words", "__t", r"\p{L}++", "true", "array_contains(terms, lower($v))")
-    inside = "filter(words, x -> not exists(base, y -> x.s < y.e and y.s < x.e))"
-    return rows.select("doc_id", "text_key", F.expr(inside).alias("term")).where("size(term) > 0")
+    terms = small(stored(found.select("term").distinct()))
+    hits = texts.select("doc_id", "text_key", F.explode(F.array_distinct(F.expr(_words("__t")))).alias("term")).join(terms, "term", "left_semi")
+    by_row = stored(hits.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms")))
+    by_row = by_row.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "terms")
+    taken = base.select("doc_id", "text_key", F.concat(*KINDS).alias("base")).where("size(base) > 0").dropDuplicates(["doc_id", "text_key"])
+    taken = stored(taken.join(small(by_row), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi"))
+    by_row = by_row.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").select("i", "k", "terms", "base")
+    rows = texts.join(small(stored(by_row)), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
+    # base spans are blanked, so that words inside and beside them are told apart
+    blank = F.expr(f"array_sort(transform(coalesce(base, {NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '')))")
+    rows = with_replaced(rows.withColumn("blank", blank), "outside", "__t", "blank", blank=True)
+    rows = with_spans(rows, "words", "outside", r"\p{L}++", "true", "array_contains(terms, lower($v))")
+    return rows.select("doc_id", "text_key", F.col("words").alias("term")).where("size(term) > 0")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -120,36 +143,43 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     base = stored(base_spans(docs))
     found = disclosed(docs, base)
-    base = base.drop("contexts") if found is None else base
+    base = base.select("doc_id", "text_key", *KINDS)
+    none = F.slice("email", 1, 0)
     if found is None or found.isEmpty():
-        return base.drop("contexts").withColumn("term", F.col("email").cast(base.schema["email"].dataType)).withColumn("term", F.slice("term", 1, 0))
+        return base.withColumn("term", none)
     extra = stored(_with_terms(docs, base, found)).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
-    joined = base.drop("contexts").join(extra, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").drop("i", "k")
-    return joined.withColumn("term", F.coalesce("term", F.slice("email", 1, 0)))
+    joined = base.join(small(extra), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").drop("i", "k")
+    return joined.withColumn("term", F.coalesce("term", none))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``; in ``text`` base values are generalised to
     ``<KIND>`` and revealing terms to ``<TERM>``; ``n_chars`` follows."""
     columns = docs.columns
-    base = stored(base_spans(docs.select("doc_id", "text")))
-    found = disclosed(docs.select("doc_id", "text"), base)
-    rows = _based(docs.withColumn("__t", text_or_empty()), prefix="__pii_")
+    plain = docs.select("doc_id", "text")
+    base = stored(base_spans(plain))
+    found = disclosed(plain, base)
+    rows = docs.select("doc_id", F.struct(*columns).alias("row"), text_or_empty().alias("__t"))
+    rows = _based(rows)
     if found is not None and not found.isEmpty():
-        extra = stored(_with_terms(docs.select("doc_id", "text"), base, found)).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), F.col("term").alias("__term"))
-        rows = rows.withColumn("__h", F.xxhash64("__t"))
-        rows = rows.join(_small(extra), rows["doc_id"].eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
+        extra = stored(_with_terms(plain, base, found)).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
+        rows = rows.withColumn("text_key", F.xxhash64("__t"))
+        rows = rows.join(small(extra), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left")
     else:
-        rows = rows.withColumn("__term", F.slice("__pii_email", 1, 0))
-    marks = ", ".join(f"transform(coalesce({c}, {KIND_NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k, c in [*((k, f"__pii_{k}") for k in KINDS), ("term", "__term")])
-    rows = rows.withColumn("__s", F.expr(f"array_sort(concat({marks}))"))
-    rows = rows.withColumn("text", F.when(F.col("text").isNull() & (F.size("__s") == 0), F.col("text")).otherwise(replaced("__t", "__s")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("__s") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
-
-
-KIND_NONE = "cast(array() as array<struct<s:int,e:int,v:string>>)"
+        rows = rows.withColumn("term", F.slice("email", 1, 0))
+    marks = ", ".join(f"transform(coalesce({k}, {NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k in (*KINDS, "term"))
+    rows = rows.withColumn("marks", F.expr(f"array_sort(concat({marks}))"))
+    rows = with_replaced(rows, "changed", "__t", "marks")
+    touched = F.size("marks") > 0
+
+    def column(c: str):
+        if c == "text":
+            return F.when(touched, F.col("changed")).otherwise(F.col("row.text")).alias(c)
+        if c == "n_chars":
+            return F.when(touched, F.char_length("changed").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return rows.select(*map(column, columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

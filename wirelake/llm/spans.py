@@ -22,21 +22,42 @@ def literal(pattern: str) -> str:
     raise ValueError("write one kind of quote as \\x22 or \\x27")
 
 
-def with_spans(df: DataFrame, name: str, text: str, pattern: str, guard: str, keep: str = "true", value: str = "x.v") -> DataFrame:
+#: Running values are taken in blocks of so many, so that no array grows by one
+#: element at a time through all matches of a text.
+BLOCK = 128
+
+
+def running(values: str, step: str) -> str:
+    """SQL: for each element of the array<int> ``values`` the value that ``step``
+    (over ``acc.at`` and ``x``, associative, 0 neutral) has reached before it."""
+
+    def within(items: str) -> str:
+        then = "concat(acc.out, array(acc.at))"
+        return f"aggregate({items}, named_struct('at', 0, 'out', cast(array() as array<int>)), (acc, x) -> named_struct('at', {step}, 'out', {then}))"
+
+    cut = f"transform(sequence(0, (size({values}) - 1) div {BLOCK}), b -> slice({values}, b * {BLOCK} + 1, {BLOCK}))"
+    parts = f"transform({cut}, p -> {within('p')})"
+    carried = step.replace("acc.at", "o").replace("x", "y")
+    flat = f"flatten(zip_with(r, {within('transform(r, p -> p.at)')}.out, (p, o) -> transform(p.out, y -> {carried})))"
+    return f"if(size({values}) = 0, cast(array() as array<int>), element_at(transform(array({parts}), r -> {flat}), 1))"
+
+
+def with_spans(df: DataFrame, name: str, text: str, pattern: str, guard: str, keep: str = "true") -> DataFrame:
     """Adds ``name``: the non-overlapping matches (start, end, text) from the
-    left for which ``keep`` (SQL over ``v``) holds. Rows without ``guard`` (SQL,
+    left for which ``keep`` (SQL over ``$v``) holds. Rows without ``guard`` (SQL,
     a cheap necessary condition) are not searched. Patterns are possessive, so
-    the time is linear in the text."""
+    the time is linear in the text, and positions are running sums over blocks of
+    matches, linear in them up to some ten million a text."""
     lit = literal(pattern)
-    df = df.withColumn(f"__m_{name}", F.expr(f"if({guard}, regexp_extract_all({text}, {lit}, 0), cast(array() as array<string>))"))
-    m = f"__m_{name}"
-    spans = f"""if(size({m}) = 0, {NONE}, aggregate(
-        zip_with(slice(split({text}, {lit}, -1), 1, size({m})), {m}, (a, b) -> named_struct('g', char_length(a), 'v', b)),
-        named_struct('at', 0, 'out', {NONE}),
-        (acc, x) -> named_struct('at', acc.at + x.g + char_length(x.v),
-            'out', if({keep.replace("$v", "x.v")}, concat(acc.out, array(named_struct('s', acc.at + x.g, 'e', acc.at + x.g + char_length(x.v), 'v', x.v))), acc.out)),
-        acc -> acc.out))"""
-    return df.withColumn(name, F.expr(spans)).drop(m)
+    m, sizes, starts = (f"__{x}_{name}" for x in ("m", "l", "at"))
+    df = df.withColumn(m, F.expr(f"if({guard}, regexp_extract_all({text}, {lit}, 0), cast(array() as array<string>))"))
+    gaps = f"slice(split({text}, {lit}, -1), 1, size({m}))"
+    df = df.withColumn(sizes, F.expr(f"if(size({m}) = 0, cast(array() as array<int>), zip_with({gaps}, {m}, (g, v) -> char_length(g) + char_length(v)))"))
+    df = df.withColumn(starts, F.expr(running(sizes, "acc.at + x")))
+    ends = f"zip_with({starts}, {sizes}, (a, n) -> a + n)"
+    spans = f"zip_with({ends}, {m}, (e, v) -> named_struct('s', e - char_length(v), 'e', e, 'v', v))"
+    kept = spans if keep == "true" else f"filter({spans}, x -> {keep.replace('$v', 'x.v')})"
+    return df.withColumn(name, F.expr(f"if(size({m}) = 0, {NONE}, {kept})")).drop(m, sizes, starts)
 
 
 def described(spans: str, kind: str) -> Column:
@@ -44,12 +65,26 @@ def described(spans: str, kind: str) -> Column:
     return F.expr(f"transform({spans}, x -> concat('{kind}:', x.s, ':', x.e))")
 
 
-def replaced(text: str, spans: str) -> Column:
-    """``text`` with spans (start, end, replacement), sorted by start, replaced;
-    of overlapping spans the first decides and the others only extend it."""
-    return F.expr(f"""if(size({spans}) = 0, {text}, aggregate({spans},
-        named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (acc, x) -> if(x.s >= acc.at,
-            named_struct('at', x.e, 'out', concat(acc.out, array(substring({text}, acc.at + 1, x.s - acc.at), x.r))),
-            named_struct('at', greatest(acc.at, x.e), 'out', acc.out)),
-        acc -> concat(array_join(acc.out, ''), substring({text}, acc.at + 1, char_length({text})))))""")
+def with_replaced(df: DataFrame, name: str, text: str, spans: str, blank: bool = False) -> DataFrame:
+    """Adds ``name``: ``text`` with ``spans`` (start, end, replacement), sorted by
+    start, replaced; of overlapping spans the first decides and the others only
+    extend it. With ``blank`` all of it becomes spaces, as many as it is long. The
+    text is cut in as many parts as each part has spans, so that the time grows
+    with text times the root of the spans."""
+    seen, heads = f"__seen_{name}", f"__heads_{name}"
+    df = df.withColumn(seen, F.expr(running(f"transform({spans}, x -> x.e)", "greatest(acc.at, x)")))
+    with_seen = f"zip_with({spans}, {seen}, (x, p) -> named_struct('p', p, 's', x.s, 'r', x.r))"
+    df = df.withColumn(heads, F.expr(f"filter({with_seen}, x -> x.s >= x.p)"))
+    if blank:  # what one covers is written before the text that follows it
+        starts = f"slice(concat(array(0), transform({heads}, x -> x.s)), 1, size({heads}))"
+        df = df.withColumn(heads, F.expr(f"zip_with({heads}, {starts}, (x, q) -> named_struct('p', x.p, 's', x.s, 'r', repeat(' ', x.p - q)))"))
+    width = f"cast(ceil(sqrt(size({heads}))) as int)"
+    cut = f"transform(sequence(0, (size({heads}) - 1) div {width}), b -> slice({heads}, b * {width} + 1, {width}))"
+    lo, hi = "element_at(h, 1).p", "element_at(h, -1).s"
+    part = f"substring({text}, {lo} + 1, {hi} - {lo})"
+    kept = f"substring(c, x.p - {lo} + 1, x.s - x.p)"
+    filled = f"transform(array({part}), c -> array_join(transform(h, x -> {f'concat(x.r, {kept})' if blank else f'concat({kept}, x.r)'}), ''))"
+    last = f"array_max(transform({spans}, x -> x.e))"
+    end = f"repeat(' ', {last} - element_at({heads}, -1).s)" if blank else "''"
+    whole = f"concat(array_join(flatten(transform({cut}, h -> {filled})), ''), {end}, substring({text}, {last} + 1, char_length({text})))"
+    return df.withColumn(name, F.expr(f"if(size({spans}) = 0, {text}, {whole})")).drop(seen, heads)
