@@ -81,9 +81,7 @@ def physical(signal: Signal, raw: np.ndarray) -> np.ndarray:
 
 def compile_defs(defs: DataFrame, keys: list[str]) -> dict[tuple, list[Signal]]:
     """key -> signals, in table order."""
-    rows = defs.select(*keys, "signal_name", "start_bit", "bit_length", "byte_order", "is_signed", "scale", "offset").limit(MOST_DEFS + 1).collect()
-    if len(rows) > MOST_DEFS:
-        raise ValueError(f"more than {MOST_DEFS} signal definitions")
+    rows = bounded(defs.select(*keys, "signal_name", "start_bit", "bit_length", "byte_order", "is_signed", "scale", "offset"), "signal definitions")
     plan: dict[tuple, list[Signal]] = {}
     for r in rows:
         if s := compile_signal(r["signal_name"], r["start_bit"], r["bit_length"], r["byte_order"], r["is_signed"], r["scale"], r["offset"]):
@@ -91,18 +89,46 @@ def compile_defs(defs: DataFrame, keys: list[str]) -> dict[tuple, list[Signal]]:
     return plan
 
 
+def bounded(df: DataFrame, what: str) -> list:
+    """The rows of a definition table; more than ``MOST_DEFS`` are an error."""
+    rows = df.limit(MOST_DEFS + 1).collect()
+    if len(rows) > MOST_DEFS:
+        raise ValueError(f"more than {MOST_DEFS} {what}")
+    return rows
+
+
 def enum_names(enums: DataFrame | None) -> dict[str, dict[int, str]]:
     out: dict[str, dict[int, str]] = {}
-    for r in enums.limit(MOST_DEFS).collect() if enums is not None else ():
+    for r in bounded(enums, "enumeration values") if enums is not None else ():
         out.setdefault(r["signal_name"], {})[int(r["raw_value"])] = r["category"]
     return out
 
 
-def stacked(column: pa.Array, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Payloads of ``rows`` as a zero-padded byte matrix, and their lengths."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where its values begin and end in them."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     held = column.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(1, np.uint8)
+    return np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(1, np.uint8), offsets
+
+
+def sliced(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """A binary column of the given parts of ``data``."""
+    ends = np.cumsum(length)
+    at = np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
+
+
+def big_endian(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    for k in range(size):
+        out = out << 8 | data[at + k]
+    return out
+
+
+def stacked(column: pa.Array, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Payloads of ``rows`` as a zero-padded byte matrix, and their lengths."""
+    data, offsets = flat(column)
     start, length = offsets[rows], offsets[rows + 1] - offsets[rows]
     at = start[:, None] + np.arange(width)
     inside = np.arange(width) < length[:, None]
@@ -212,21 +238,41 @@ def split_pdus(data: bytes, long_header: bool = False, skip_padding: bool = Fals
     return out
 
 
+def split_all(column: pa.Array, long_header: bool, skip_padding: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(frame, pdu id, payload) as ``split_pdus`` cuts every frame of a column;
+    all frames advance by one PDU a pass."""
+    data, offsets = flat(column)
+    frame = np.flatnonzero(~np.asarray(column.is_null()))
+    at, end = offsets[frame], offsets[frame + 1]
+    head, codes = (8 if long_header else 4), np.array([*DLC_BYTES, *range(16, 256)])
+    passes = []
+    while len(frame := frame[live := at + head <= end]):
+        at, end = at[live], end[live]
+        if long_header:
+            pdu, size = big_endian(data, at, 4), big_endian(data, at + 4, 4)
+        else:
+            pdu, size = big_endian(data, at, 3), codes[data[at + 3]]
+        whole = at + head + size <= end
+        frame, at, end, pdu, size = (x[whole] for x in (frame, at, end, pdu, size))
+        kept = (pdu != 0) | (size != 0) | (not skip_padding)
+        passes.append((frame[kept], pdu[kept], at[kept] + head, size[kept]))
+        at = at + head + size
+    index, pdu, start, size = (np.concatenate(x) for x in zip(*passes)) if passes else [np.empty(0, np.int64)] * 4
+    order = np.argsort(index, kind="stable")  # frame by frame, PDUs in their order
+    return index[order], pdu[order], sliced(data, start[order], size[order])
+
+
 def demux(frames: DataFrame, defs: DataFrame, long_header: bool = False, skip_padding: bool = False, drop: tuple[str, ...] = ("data",)) -> DataFrame:
     """One row per PDU of the container frames: pdu_id, pdu_payload."""
-    ids = [r[0] for r in defs.where("pdu_id is not null").select("message_id").distinct().limit(MOST_DEFS).collect()]
+    ids = [r[0] for r in bounded(defs.where("pdu_id is not null").select("message_id").distinct(), "container ids")]
     kept = [c for c in frames.columns if c not in drop]
 
     def run(batches):
         for b in batches:
-            index, pdus, payloads = [], [], []
-            for i, data in enumerate(b.column("data").to_pylist()):
-                for pdu, payload in split_pdus(data, long_header, skip_padding):
-                    index.append(i)
-                    pdus.append(pdu)
-                    payloads.append(payload)
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), pa.array(pdus, pa.int64()), pa.array(payloads, pa.binary())], names=[*kept, "pdu_id", "pdu_payload"])
+            column = b.column("data")
+            index, pdus, payloads = split_all(column if column.type == pa.binary() else column.cast(pa.binary()), long_header, skip_padding)
+            take = pa.array(index)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), pa.array(pdus), payloads], names=[*kept, "pdu_id", "pdu_payload"])
 
     out = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in kept) + ", pdu_id long, pdu_payload binary"
     container = frames.where(F.col("can_id").isin(ids) if ids else F.lit(False)).where("data is not null")

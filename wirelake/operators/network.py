@@ -1,8 +1,8 @@
 """Ethernet payloads: IP, TCP, UDP, ARP and IGMP headers, SOME/IP and DoIP.
 
 Workers stack the first bytes of a batch's payloads into a matrix and read all
-header fields of all rows at once with numpy; only what repeats within a
-payload (SOME/IP, DoIP messages) is cut row by row.
+header fields of all rows at once with numpy; messages that repeat within a
+payload (SOME/IP, DoIP) are read one a pass in all payloads at once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions.names import ARP_OPS, IGMP_TYPES, SOMEIP_TYPES, named
 
-from .decode import stacked
+from .decode import big_endian, flat, sliced, stacked
 
 TCP, UDP, IGMP = 6, 17, 2
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
@@ -159,26 +159,61 @@ def eth_signals(eth: DataFrame, drop: tuple[str, ...] = ("data",)) -> DataFrame:
     return parsed.mapInArrow(run, f"{_spark_type(eth, kept)}, signal_name string, signal_value double, signal_str string")
 
 
-def _cut(eth: DataFrame, kept: list[str], accept, cut, fields: str, ends: bool = False) -> DataFrame:
-    """One row per message that ``cut`` finds in the transport payloads of the
-    frames that ``accept`` (Headers -> mask) takes; ``ends`` adds the addresses."""
+@dataclass
+class Found:
+    """Messages of a batch: the frame each lies in, its fields by column, and
+    where its payload starts and how long it is."""
+
+    frame: np.ndarray
+    fields: list[np.ndarray]
+    start: np.ndarray
+    size: np.ndarray
+
+
+def _advance(data: np.ndarray, frame: np.ndarray, at: np.ndarray, end: np.ndarray, head: int, step) -> Found:
+    """Reads messages of ``head`` bytes and more, one a pass in all frames at
+    once. ``step`` (at, end) gives whether a message is sound, where it ends, the
+    fields to keep, its payload's start and size, and whether it is wanted."""
+    passes = []
+    while len(frame := frame[live := at + head <= end]):
+        at, end = at[live], end[live]
+        sound, after, fields, start, size, wanted = step(at, end)
+        keep = sound & wanted
+        passes.append([x[keep] for x in (frame, start, size, *fields)])
+        frame, at, end = frame[sound], after[sound], end[sound]
+    if not passes:
+        _, _, fields, start, size, _ = step(at[:0], end[:0])
+        passes.append([frame[:0], start, size, *fields])
+    columns = [np.concatenate(x) for x in zip(*passes)]
+    order = np.argsort(columns[0], kind="stable")
+    frame, start, size, *fields = (c[order] for c in columns)
+    return Found(frame, fields, start, size)
+
+
+def _messages(eth: DataFrame, kept: list[str], accept, find, fields: str, ends: bool = False) -> DataFrame:
+    """One row per message that ``find`` (data, frames, starts, ends) reads from
+    the transport payloads of the frames that ``accept`` (Headers -> mask) takes:
+    its integer fields, then its payload; ``ends`` adds the addresses."""
     names = [x.split()[0] for x in fields.split(", ")]
-    types = [{"int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in fields.split(", ")]
     extra = ["src_ip", "dst_ip", "udp_src_port", "udp_dst_port"] if ends else []
 
     def run(batches):
         for b in batches:
-            h = headers(b.column("data"), b.column("ether_type").to_numpy(zero_copy_only=False))
-            index, rows = [], []
-            for i in np.flatnonzero(accept(h)).tolist():
-                at = int(h.at[i])
-                for row in cut(b.column("data")[i].as_py()[at : at + int(h.size[i])]):
-                    index.append(i)
-                    rows.append((h.address(i, True), h.address(i, False), int(h.src_port[i]), int(h.dst_port[i]), *row) if ends else row)
-            columns = list(zip(*rows)) or [()] * (len(extra) + len(names))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()][: len(extra)] + types
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), *(pa.array(v, t) for v, t in zip(columns, kinds))], names=[*kept, *extra, *names])
+            column = b.column("data")
+            column = column if column.type == pa.binary() else column.cast(pa.binary())
+            h = headers(column, b.column("ether_type").to_numpy(zero_copy_only=False))
+            data, offsets = flat(column)
+            frame = np.flatnonzero(accept(h))
+            at = offsets[frame] + h.at[frame]
+            m = find(data, frame, at, np.minimum(at + h.size[frame], offsets[frame + 1]))
+            take = pa.array(m.frame)
+            both = []
+            if ends:
+                each, back = np.unique(m.frame, return_inverse=True)
+                back = pa.array(back)
+                both = [pa.array([h.address(i, source) for i in each.tolist()], pa.string()).take(back) for source in (True, False)]
+                both += [pa.array(p[m.frame].astype(np.int32)) for p in (h.src_port, h.dst_port)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), *both, *(pa.array(f.astype(np.int32)) for f in m.fields), sliced(data, m.start, m.size)], names=[*kept, *extra, *names])
 
     packets = eth.where(F.col("data").isNotNull() & F.col("ether_type").isin(IPV4, IPV6))
     added = "src_ip string, dst_ip string, udp_src_port int, udp_dst_port int, " if ends else ""
@@ -210,16 +245,33 @@ def served(m: tuple) -> bool:
     return not (m[0] == 0xFFFF and m[1] == 0x8100) and m[5] == 1 and m[7] in SERVED_TYPES
 
 
+def find_someip(data: np.ndarray, frame: np.ndarray, at: np.ndarray, end: np.ndarray, served_only: bool = True) -> Found:
+    """``someip_messages`` of many payloads; of those ``served`` unless told."""
+
+    def step(at, end):
+        length = big_endian(data, at + 4, 4)
+        service, method, client, session = (big_endian(data, at + o, 2) for o in (0, 2, 8, 10))
+        version, interface, kind, code = (data[at + o].astype(np.int64) for o in (12, 13, 14, 15))
+        sound = (length >= 8) & (at + 8 + length <= end)
+        wanted = ~((service == 0xFFFF) & (method == 0x8100)) & (version == 1) & np.isin(kind, SERVED_TYPES) | (not served_only)
+        return sound, at + 8 + length, [service, method, length, client, session, version, interface, kind, code], at + 16, length - 8, wanted
+
+    return _advance(data, frame, at, end, 16, step)
+
+
 def parse_someip(eth: DataFrame, first_only: bool = False, drop: tuple[str, ...] = ("data",)) -> DataFrame:
     """One row per SOME/IP message in UDP payloads. ``first_only`` is the looser
     reading of the command line: UDP or TCP, the first message, unfiltered."""
     kept = [c for c in eth.columns if c not in drop]
 
-    def cut(data):
-        messages = someip_messages(data)
-        return messages[:1] if first_only else [m for m in messages if served(m)]
+    def find(data, frame, at, end):
+        m = find_someip(data, frame, at, end, not first_only)
+        if not first_only:
+            return m
+        first = np.unique(m.frame, return_index=True)[1]
+        return Found(m.frame[first], [f[first] for f in m.fields], m.start[first], m.size[first])
 
-    return _cut(eth, kept, lambda h: (h.kind > 0) if first_only else h.kind == UDP, cut, SOMEIP_FIELDS, ends=True)
+    return _messages(eth, kept, lambda h: (h.kind > 0) if first_only else h.kind == UDP, find, SOMEIP_FIELDS, ends=True)
 
 
 DOIP_PORT = 13400
@@ -239,11 +291,24 @@ def doip_diag(data: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def find_doip(data: np.ndarray, frame: np.ndarray, at: np.ndarray, end: np.ndarray) -> Found:
+    """``doip_diag`` of many segments."""
+
+    def step(at, end):
+        length = big_endian(data, at + 4, 4)
+        sound = (data[at] ^ data[at + 1] == 0xFF) & (at + 8 + length <= end)
+        wanted = (big_endian(data, at + 2, 2) == 0x8001) & (length >= 4)
+        inside = np.where(sound & wanted, at + 8, at)  # addresses are read where there are any
+        return sound, at + 8 + length, [big_endian(data, inside, 2), big_endian(data, inside + 2, 2)], at + 12, length - 4, wanted
+
+    return _advance(data, frame, at, end, 8, step)
+
+
 def parse_doip(eth: DataFrame, drop: tuple[str, ...] = ("data",)) -> DataFrame:
     """One row per DoIP diagnostic message over TCP port 13400: doip_src_addr,
     doip_target_addr, uds."""
     kept = [c for c in eth.columns if c not in drop]
-    return _cut(eth, kept, lambda h: (h.kind == TCP) & ((h.src_port == DOIP_PORT) | (h.dst_port == DOIP_PORT)), doip_diag, "doip_src_addr int, doip_target_addr int, uds binary")
+    return _messages(eth, kept, lambda h: (h.kind == TCP) & ((h.src_port == DOIP_PORT) | (h.dst_port == DOIP_PORT)), find_doip, "doip_src_addr int, doip_target_addr int, uds binary")
 
 
 def someip_type_name(code) -> Column:
