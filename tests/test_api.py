@@ -95,5 +95,6 @@ def test_answers():
     assert scoped.extra_scope == {"CAN1::Brake": ["b"]}
     assert answers.interpret(answer("CAN1::Speed"), KNOWN, None, lambda keys: ({}, keys)).unknown_signals == ["CAN1::Speed"]
     assert answers.interpret(answer("nothing here"), KNOWN, BOUNDS) is None and answers.interpret({"status": "error", "text": "", "sql_rows": []}, KNOWN, BOUNDS) is None
-    assert answers.context_prefix(["a.blf"], None, ["CAN1"]) == "Currently viewing file(s) (_source_file column) a.blf; channel(s) (signal_source+channel key) CAN1." and answers.context_prefix() == ""
+    prefix = answers.context_prefix(["a.blf"], None, ["CAN1", "CAN2"])
+    assert [x for x in ("_source_file", "a.blf", "signal_source and channel", "CAN1 | CAN2") if x not in prefix] == [] and "signal_name" not in prefix and answers.context_prefix() == ""
     assert parse_time_range("10:00:10 to 10:00:20", 0, 100, 36000.0) == (10, 20) and parse_time_range("between 50s and 80s", 5, 100) == (55, 85)

@@ -39,6 +39,27 @@ def test_segments_tile(points, window, least, most):
     assert all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and all(z - a >= least - 1e-9 for a, z, _ in parts)
 
 
+def test_fit_over_blocks(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(c, 0.3, (n, 5)) for c, n in ((0, 70), (4, 50), (-3, 40), (9, 21))])
+    x[::7, 2], x[3, 1], x[5, 4] = 0.0, np.nan, np.inf
+    plain = np.where(np.isfinite(x), x, 0.0)
+    for blocks in (K.Local(x), K.Local(x, 13)):
+        assert K.medians(blocks) == pytest.approx(np.median(plain, axis=0), abs=0) and K.medians(K.Local(x[:-1], 50)) == pytest.approx(np.median(plain[:-1], axis=0), abs=0)
+    spread = K.Spread(spark.createDataFrame([(f"{i:04d}", row.tolist()) for i, row in enumerate(x)], "id string, v array<double>").coalesce(2), "id", "v", 18)
+    assert spread.n == len(x) and len(spread.first) > spread.FAN
+    chosen = [K.choose_k(b, 2, 6, 42) for b in (K.Local(plain), K.Local(plain, 13))]
+    assert chosen[0] == chosen[1]
+    models = [K.fit_model(b, 4, 2, 6, 42) for b in (K.Local(x), K.Local(x, 13), spread)]
+    for m in models:
+        assert m.k == 4 and np.allclose(m.centers, models[0].centers) and np.allclose(m.middle, np.median(plain, axis=0))
+    scaled = models[0].scaled(x)
+    labels = models[0].assign(x)[0]
+    assert np.bincount(labels).tolist() == [70, 50, 40, 21]
+    assert all(np.allclose(models[0].centers[j], scaled[labels == j].mean(axis=0)) for j in range(4))
+    spread.release()
+
+
 def test_rules_compile():
     assert scenes.interval("gt", 5.0) == ("identity", math.nextafter(5.0, math.inf), math.inf)
     assert scenes.interval("abs_le", 2.0) == ("abs", -math.inf, 2.0) and scenes.interval("between", 1.0, 2.0) == ("identity", 1.0, 2.0) and scenes.interval("eq", 3.0) == ("identity", 3.0, 3.0)
@@ -149,16 +170,19 @@ def test_scene_edges(spark):
     stats = scenes.signal_stats(gold, p)
     b = scenes.boundaries(gold, stats, p)
     f = scenes.signal_features(gold, b, p).cache()
-    assert scenes.load_rules(spark, "/nowhere.csv") == ([], []) and scenes.load_rules(spark, None) == ([], [])
+    assert scenes.load_rules(spark, None) == ([], [])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scenes.load_rules(spark, "/nowhere.csv")
     labelled = scenes.labels(f, b, ([], []), p)
     assert {r["primary_action_label"] for r in labelled.collect()} == {"idle"}
     assert scenes.feature_z(f, p).where("abs_z > 10").count() == 0
     z, v = scenes.feature_z(f, p), scenes.vectors(f, scenes.feature_index(f, p)).cache()
     s = scenes.scenes(f, z, scenes.cluster_assignments(v, p), labelled, p, summarise=lambda text: f"{len(text)} characters")
     assert s.where("scene_summary like '%characters'").count() == 3
-    assert scenes.clusters(s, name=str.upper).where("cluster_name like 'NAME%'").count() >= 1
-    sampled = scenes.Params(k=2, fit_rows=2)
-    assert scenes.cluster_assignments(v, sampled).count() == v.count()
+    assert scenes.clusters(s, name=str.upper).where("cluster_name is not null").count() >= 1
+    whole, spread = (sorted(scenes.cluster_assignments(v, scenes.Params(k=2, task_rows=n)).collect()) for n in (100_000, 2))
+    assert [(x["scene_id"], x["cluster_id"]) for x in whole] == [(x["scene_id"], x["cluster_id"]) for x in spread] and len(whole) == v.count()
+    assert np.allclose([x["centroid_distance"] for x in whole], [x["centroid_distance"] for x in spread])
     empty = gold.where("false")
     t = scenes.run(empty, p)
     assert t["scenes"].count() == 0 and t["feature_index"].first()["n_features"] == 0
