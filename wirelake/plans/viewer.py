@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,13 +126,50 @@ def selection(keys: list[Key], files: list[str] | None = None, extra_scope: dict
     return out
 
 
+#: A time line is cut into so many equal stretches, each of which one task can hold.
+STRETCHES = 256
+
+
+def stretched(df: DataFrame, by: list[str], on: str) -> DataFrame:
+    """Adds ``__cell``, the stretch of its line (one per ``by``) that a row lies
+    in. The ends of the lines are one small row each."""
+    ends = df.groupBy(*by).agg(F.min(on).alias("__lo"), F.max(on).alias("__hi"))
+    placed = _with_line(df, ends, by)
+    share = F.try_divide((F.col(on) - F.col("__lo")).cast("double"), (F.col("__hi") - F.col("__lo")).cast("double"))
+    return placed.withColumn("__cell", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * STRETCHES), F.lit(STRETCHES - 1)).cast("int")).drop("__lo", "__hi")
+
+
+def _with_line(df: DataFrame, lines: DataFrame, by: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Joins what is known per line (and ``extra``); nulls in ``by`` are a line too."""
+    renamed = lines.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate((*by, *extra))), *(c for c in lines.columns if c not in (*by, *extra)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate((*by, *extra))]
+    joined = df.join(renamed, reduce(lambda a, b: a & b, same), "left") if same else df.crossJoin(F.broadcast(renamed))  # one row
+    return joined.drop(*(f"__{i}" for i in range(len(same))))
+
+
+def numbered(df: DataFrame, by: list[str], on: str, order: list[str]) -> DataFrame:
+    """Adds ``__row`` (from 0) and ``__rows``: a row's place in its line by
+    ``order``, which starts with ``on``, and the line's length. Rows are numbered
+    within stretches, to which the stretches before are added."""
+    cells = stretched(df, by, on)
+    counts = cells.groupBy(*by, "__cell").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "__cell", before.alias("__before"), F.sum("__n").over(w).alias("__rows"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(*order)) - 1
+    placed = _with_line(cells.withColumn("__in", inside), counts, by, ("__cell",))
+    return placed.withColumn("__row", F.col("__before") + F.col("__in")).drop("__cell", "__in", "__before")
+
+
 def downsample(samples: DataFrame, max_pts: int) -> DataFrame:
     """The lowest and highest sample of each of ``max_pts`` equal slices of a
     signal: at most 2 * max_pts rows. Equal times and values are told apart by
-    the sample's other fields."""
-    w = Window.partitionBy(*CATALOG).orderBy("timestamp_ns", "signal_value", "signal_str")
-    sample = F.struct(*SAMPLE)
-    sliced = samples.select(*CATALOG, sample.alias("sample"), F.ntile(max_pts).over(w).alias("bucket"))
+    the sample's other fields. The first slices take what doesn't divide."""
+    rows = numbered(samples, list(CATALOG), "timestamp_ns", ["timestamp_ns", "signal_value", "signal_str"])
+    size, more = F.floor(F.col("__rows") / max_pts), F.col("__rows") % max_pts
+    wide = more * (size + 1)
+    bucket = F.when(F.col("__row") < wide, F.floor(F.col("__row") / (size + 1))).otherwise(more + F.floor((F.col("__row") - wide) / size))
+    sliced = rows.select(*CATALOG, F.struct(*SAMPLE).alias("sample"), bucket.alias("bucket"))
     low, high = F.struct("sample.signal_value", "sample.timestamp_ns"), F.struct(F.col("sample.signal_value"), -F.col("sample.timestamp_ns"))
     ends = sliced.groupBy(*CATALOG, "bucket").agg(F.min_by("sample", low).alias("lo"), F.max_by("sample", high).alias("hi"))
     return ends.select(*CATALOG, F.inline(F.array("lo", "hi"))).orderBy(*CATALOG, "event_time", "timestamp_ns")
@@ -164,21 +202,29 @@ def unfetched(keys: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, value: str, by: list[str] | None = None, prefix: str = "right_") -> DataFrame:
     """Each left row with the right row nearest on ``on`` within ``by``; the
-    earlier one where both are as near. Both sides are laid out on one time line
-    and the last and next right row are carried over it, which needs one exchange
-    on ``by`` and no pairs."""
+    earlier one where both are as near. Both sides are laid out on one time line,
+    which is cut into stretches; the last and next right row are carried over each
+    stretch, and from one to the others as a row per stretch. No pairs are formed
+    and no task holds a whole line."""
     by = by or []
     other = F.struct(F.col(on), F.col(value))
     kept = [c for c in left.columns if c not in (*by, on)]
     a = left.select(*by, on, F.struct(*kept).alias("l"), F.lit(None).cast(right.select(other.alias("r")).schema["r"].dataType).alias("r"))
     b = right.where(F.col(value).isNotNull()).select(*by, on, F.lit(None).cast(a.schema["l"].dataType).alias("l"), other.alias("r"))
-    line = a.unionByName(b)
-    w = Window.partitionBy(*by)
-    # both frames grow from one end: a frame to the far end is recomputed for every row
+    line = stretched(a.unionByName(b), by, on)
     carried = F.last("r", ignorenulls=True)
+    # the right rows at the ends of each stretch, carried over the stretches
+    known = line.where("r is not null").groupBy(*by, "__cell").agg(F.max_by("r", on).alias("__last"), F.min_by("r", on).alias("__first"))
+    cells = line.select(*by, "__cell").distinct()
+    cells = _with_line(cells, known, by, ("__cell",))
+    w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "__cell", F.last("__last", ignorenulls=True).over(w.orderBy(F.col("__cell").asc())).alias("__from"), F.last("__first", ignorenulls=True).over(w.orderBy(F.col("__cell").desc())).alias("__to"))
+    # both frames grow from one end: a frame to the far end is recomputed for every row
+    w = Window.partitionBy(*by, "__cell")
     back = carried.over(w.orderBy(F.col(on).asc()).rangeBetween(Window.unboundedPreceding, 0))
     ahead = carried.over(w.orderBy(F.col(on).desc()).rangeBetween(Window.unboundedPreceding, 0))
-    found = line.withColumns({"__b": back, "__a": ahead}).where("l is not null")
+    found = _with_line(line.withColumns({"__b": back, "__a": ahead}).where("l is not null"), cells, by, ("__cell",))
+    found = found.withColumns({"__b": F.coalesce("__b", "__from"), "__a": F.coalesce("__a", "__to")})
     gap_b, gap_a = F.col(on) - F.col(f"__b.{on}"), F.col(f"__a.{on}") - F.col(on)
     near = F.when(F.col("__a").isNull() | (gap_b <= gap_a), F.col("__b")).otherwise(F.col("__a"))
     return found.withColumn("__n", near).select(*by, on, "l.*", F.col(f"__n.{on}").alias(prefix + on), F.col(f"__n.{value}").alias(prefix + value))
