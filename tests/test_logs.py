@@ -197,6 +197,30 @@ def test_mdf4_round_trip(spark, tmp_path, compress):
         list(mdf4.read_batches(str(tmp_path / "bad.mf4")))
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_mdf4_long_lists_and_parts(spark, tmp_path, compress, monkeypatch):
+    rows = [dict(timestamp_ns=i * 1000, message_type="CAN", channel=1, can_id=i, dlc=8, dir=0, data=struct.pack("<Q", i), is_ext_id=False) for i in range(3000)]
+    rows += [dict(timestamp_ns=i * 1000, message_type="MF4_SIGNAL", mf4_group="g", mf4_name="x", mf4_value=float(i), mf4_unit="") for i in range(500)]
+    path = str(tmp_path / "long.mf4")
+    mdf4.write_rows(path, rows, START, compress, block_bytes=50, list_links=1)  # records span blocks; a chain of thousands of lists
+    with open(path, "rb") as f:
+        parts = mdf4.slices(mdf4.File(f), path, 10_000)
+        groups = mdf4.read_index(mdf4.File(f))[1]
+        assert mdf4.File(f).data(groups[1].data) == b"".join(struct.pack("<dd", i * 1000 / 1e9, float(i)) for i in range(500))
+    assert len(parts) > 20 and [p.first for p in parts if p.group == 0][1:] == [p.end for p in parts if p.group == 0][:-1]
+    monkeypatch.setattr(mdf4, "BATCH_ROWS", 64)
+    whole = [(row, b) for _, row, b in mdf4.read_batches(path)]
+    cut = [(row, b) for p in parts for _, row, b in mdf4.read_batches(path, None, p)]
+    assert max(b.num_rows for _, b in whole) <= 64
+    for got in (whole, cut):
+        assert [r for _, b in got for r in b.column(b.schema.get_field_index("timestamp_ns")).to_pylist()] == [int(r["timestamp_ns"] / 1e9 * 1e9) for r in rows]  # seconds in doubles
+        numbers = [row + i for row, b in got for i in range(b.num_rows)]
+        assert numbers == [*range(3000), *((1 << 40) + i for i in range(500))]
+    spark.dataSource.register(mdf4.Mdf4Source)
+    df = spark.read.format("mdf4").option("bytesPerPartition", 20_000).load(path)
+    assert df.rdd.getNumPartitions() > 10 and df.count() == 3500 and df.where("message_type = 'CAN'").selectExpr("sum(can_id)").first()[0] == 3000 * 2999 // 2
+
+
 def test_mdf4_values():
     import numpy as np
 

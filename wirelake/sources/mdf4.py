@@ -1,8 +1,10 @@
 """MDF4 logs: codec and Python data source.
 
 The block tree of a file is walked once into groups; a group's records are then
-one numpy byte matrix, from which every channel is a column. CAN and Ethernet
-groups become messages, all other groups one sample per data channel and record.
+read data block by data block as numpy byte matrices, from which every channel is
+a column. Large groups are cut at data blocks into several partitions. CAN and
+Ethernet groups become messages, all other groups one sample per data channel and
+record.
 
 Times are relative to the recording's start, as in the other format. Lists of
 data blocks and both compressions (plain and transposed deflate) are read.
@@ -32,7 +34,10 @@ UINT_LE, UINT_BE, INT_LE, INT_BE, FLOAT_LE, FLOAT_BE = range(6)
 BYTE_ARRAYS = (10, 14)
 BUS_CAN, BUS_ETHERNET = 2, 7
 DLC_BYTES = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64] + [64] * 240)
+DATA_BLOCKS = ("DT", "DV", "RD", "DI", "SD")
 BATCH_ROWS = 50_000
+#: Bytes of a plain data block that are read at a time, and of records in a partition.
+PIECE, SLICE = 1 << 22, 128 << 20
 
 
 class Mdf4Error(ValueError):
@@ -80,28 +85,65 @@ class File:
             yield b
             at = b.links[0]
 
+    def parts(self, at: int) -> Iterator[tuple[int, int]]:
+        """(address, bytes of records) of the data blocks below a data link, in
+        order; lists are walked in a loop, blocks are not read."""
+        ahead = [at]
+        while ahead:
+            if not (at := ahead.pop()):
+                continue
+            name, length, n = self.head(at)
+            if name in DATA_BLOCKS:
+                yield at, length - 24 - 8 * n
+            elif name == "DZ":
+                yield at, struct.unpack_from("<Q", self.f.read(16 + 8 * n), 8 * n + 8)[0]
+            elif name == "HL":
+                ahead.append(self.block(at).links[0])
+            elif name == "DL":
+                links = self.block(at).links
+                ahead.append(links[0])
+                ahead += links[:0:-1]
+            else:
+                raise Mdf4Error(f"{name} holds no records")
+
+    def head(self, at: int) -> tuple[str, int, int]:
+        """(kind, length, number of links) of a block."""
+        self.f.seek(at)
+        raw = self.f.read(24)
+        if len(raw) < 24 or raw[:2] != b"##":
+            raise Mdf4Error(f"no block at byte {at}")
+        name, length, n = HEADER.unpack(raw)
+        return name[2:].decode("latin-1"), length, n
+
+    def records(self, at: int, skip: int = 0) -> Iterator[bytes]:
+        """The bytes of one data block from ``skip`` on: a plain one piece by
+        piece, a compressed one as a whole."""
+        name, length, n = self.head(at)
+        if name in DATA_BLOCKS:
+            place, end = at + 24 + 8 * n + skip, at + length
+            while place < end:
+                self.f.seek(place)
+                piece = self.f.read(min(PIECE, end - place))
+                if not piece:
+                    raise Mdf4Error(f"block at byte {at} is cut off")
+                place += len(piece)
+                yield piece
+            return
+        body = self.block(at).body
+        kind, _, parameter, size, packed = struct.unpack_from("<BBIQQ", body, 2)
+        if kind not in (0, 1):
+            raise Mdf4Error(f"compression {kind} is unknown")
+        raw = zlib.decompress(body[24 : 24 + packed])
+        if kind == 1 and parameter:  # stored column by column
+            whole = len(raw) // parameter * parameter
+            raw = np.frombuffer(raw[:whole], np.uint8).reshape(parameter, -1).T.tobytes() + raw[whole:]
+        if len(raw) != size:
+            raise Mdf4Error(f"data block has {len(raw)} bytes, not {size}")
+        yield raw[skip:]
+
     def data(self, at: int) -> bytes:
-        """The records below a data link."""
-        b = self.block(at)
-        if b.id in ("DT", "DV", "RD", "DI", "SD"):
-            return b.body
-        if b.id == "DZ":
-            kind, _, parameter, size, packed = struct.unpack_from("<BBIQQ", b.body, 2)
-            if kind not in (0, 1):
-                raise Mdf4Error(f"compression {kind} is unknown")
-            raw = zlib.decompress(b.body[24 : 24 + packed])
-            if kind == 1 and parameter:  # stored column by column
-                whole = len(raw) // parameter * parameter
-                raw = np.frombuffer(raw[:whole], np.uint8).reshape(parameter, -1).T.tobytes() + raw[whole:]
-            if len(raw) != size:
-                raise Mdf4Error(f"data block has {len(raw)} bytes, not {size}")
-            return raw
-        if b.id == "HL":
-            return self.data(b.links[0]) if b.links[0] else b""
-        if b.id == "DL":
-            parts = [self.data(x) for x in b.links[1:] if x]
-            return b"".join(parts) + (self.data(b.links[0]) if b.links[0] else b"")
-        raise Mdf4Error(f"{b.id} holds no records")
+        """All records below a data link."""
+        return b"".join(piece for block, _ in self.parts(at) for piece in self.records(block))
 
 
 @dataclass
@@ -256,55 +298,96 @@ def decode_group(g: Group, m: np.ndarray) -> pa.RecordBatch:
     return _table(n * k, dict(timestamp_ns=np.repeat(stamp, k), message_type="MF4_SIGNAL", mf4_group=g.name, mf4_name=tiled([c.name for c in signals]), mf4_value=values, mf4_unit=tiled([c.unit for c in signals])))
 
 
-def read_batches(path: str, wanted: frozenset[str] | None = None, group: int | None = None) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(start_ns, group number, columns), a bounded number of records at a time."""
+@dataclass
+class GroupSlice(InputPartition):
+    """Records of a group from ``first`` up to ``end`` (None: all there are)."""
+
+    path: str
+    group: int | None
+    first: int = 0
+    end: int | None = None
+
+
+def slices(f: File, path: str, size: int = SLICE) -> list[GroupSlice]:
+    """The groups of a file, cut at data blocks into parts of ``size`` bytes."""
+    out = []
+    for k, g in enumerate(read_index(f)[1]):
+        first = at = 0
+        for _, n in f.parts(g.data):
+            at += n
+            end = at // g.size if g.size else 0
+            if (end - first) * g.size >= size:
+                out.append(GroupSlice(path, k, first, end))
+                first = end
+        out.append(GroupSlice(path, k, first, None))
+    return out
+
+
+def read_batches(path: str, wanted: frozenset[str] | None = None, part: GroupSlice | None = None) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(start_ns, number of the first row, columns) of all groups or of a part of
+    one; memory holds some records and one block or piece of it at a time."""
     with open_file(path) as handle:
         f = File(handle)
         start_ns, groups = read_index(f)
         for k, g in enumerate(groups):
-            if group is not None and k != group:
+            if part is not None and part.group is not None and k != part.group:
                 continue
-            if wanted is not None and not wanted & ({"CAN", "CAN_FD"} if g.form == "CAN" else {g.form}):
+            if not g.size or (wanted is not None and not wanted & ({"CAN", "CAN_FD"} if g.form == "CAN" else {g.form})):
                 continue
-            raw = f.data(g.data)
-            n = min(g.records, len(raw) // g.size if g.size else 0)
-            m = np.frombuffer(raw, np.uint8, n * g.size).reshape(n, g.size) if n else np.zeros((0, g.size), np.uint8)
-            step = max(1, BATCH_ROWS // max(1, len(g.channels) if g.form == "MF4_SIGNAL" else 1))
-            for at in range(0, n, step):
-                b = decode_group(g, m[at : at + step])
+            per_record = sum(c.kind != MASTER for c in g.channels) if g.form == "MF4_SIGNAL" else 1
+            step = max(1, BATCH_ROWS // max(1, per_record))
+            first, end = (part.first, part.end) if part is not None and part.group is not None else (0, None)
+            end = g.records if end is None else min(end, g.records)
+            for m in _matrices(f, g, first, end, step):
+                b = decode_group(g, m)
                 if wanted is not None and g.form == "CAN":
                     b = b.filter(pa.array([x in wanted for x in b.column(1).to_pylist()]))
-                yield start_ns, k, b
-
-
-@dataclass
-class GroupSlice(InputPartition):
-    path: str
-    group: int | None
+                yield start_ns, (k << 40) + first * per_record, b
+                first += len(m)
+
+
+def _matrices(f: File, g: Group, first: int, end: int, step: int) -> Iterator[np.ndarray]:
+    """Records ``first`` to ``end`` as rows of bytes, at most ``step`` at a time;
+    a record may span data blocks."""
+    at, left, held = 0, (end - first) * g.size, b""
+    skip = first * g.size
+    for block, n in f.parts(g.data):
+        if left <= 0:
+            break
+        if at + n > skip:
+            for piece in f.records(block, max(0, skip - at)):
+                held += piece[:left]
+                left -= min(left, len(piece))
+                whole = len(held) // g.size
+                for row in range(0, whole, step):
+                    size = min(step, whole - row)
+                    yield np.frombuffer(held, np.uint8, size * g.size, row * g.size).reshape(size, g.size)
+                held = held[whole * g.size :]
+                if left <= 0:
+                    break
+        at += n
 
 
 class Mdf4Reader(DataSourceReader):
-    """One partition per group of records of a file."""
+    """One partition per group of records of a file, more for large groups."""
 
     def __init__(self, options: dict):
         types = options.get("types")
         self.wanted = frozenset(t.strip() for t in types.split(",")) if types else None
         self.absolute = str(options.get("absolute", "false")).lower() == "true"
+        self.size = int(options.get("bytesperpartition", SLICE))
         self.paths = expand(options["path"], (".mf4", ".mdf"))
 
     def partitions(self):
         out = []
         for path in self.paths:
             with open_file(path) as handle:
-                n = len(read_index(File(handle))[1])
-            out += [GroupSlice(path, k) for k in range(n)]
+                out += slices(File(handle), path, self.size)
         return out or [GroupSlice(p, None) for p in self.paths]
 
     def read(self, partition: GroupSlice):
-        row = (partition.group or 0) << 40
-        for start_ns, _, b in read_batches(partition.path, self.wanted, partition.group):
+        for start_ns, row, b in read_batches(partition.path, self.wanted, partition):
             yield with_file(b, partition.path, start_ns, row, self.absolute)
-            row += b.num_rows
 
 
 class Mdf4Source(DataSource):
@@ -338,8 +421,8 @@ ETH_LAYOUT = [("t", 0, 8, FLOAT_LE), ("Ethernet.BusChannel", 8, 2, UINT_LE), ("E
 class Writer:
     """Collects log rows and writes one sorted file at the end."""
 
-    def __init__(self, f, start_ns: int = 0, compress: bool = False):
-        self.f, self.start_ns, self.compress = f, start_ns, compress
+    def __init__(self, f, start_ns: int = 0, compress: bool = False, block_bytes: int = 4 << 20, list_links: int = 1000):
+        self.f, self.start_ns, self.compress, self.block_bytes, self.list_links = f, start_ns, compress, block_bytes, list_links
         self.can, self.eth = bytearray(), bytearray()
         self.signals: dict[tuple[str, str], tuple[str, bytearray]] = {}
 
@@ -377,12 +460,26 @@ class Writer:
             body = struct.pack("<BBBBIIIIBBHdddddd", MASTER if master else DATA, 1 if master else 0, kind, 0, offset, width * 8, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
             following = self._block("CN", [following, 0, self._text(name), source, 0, 0, 0, unit], body)
         cg = self._block("CG", [0, following, self._text(title), source, 0, 0], struct.pack("<QQHHIII", 0, len(records) // size, 0, 0, 0, size, 0))
-        if self.compress:
-            packed = zlib.compress(records)
-            data = self._block("DZ", [], b"DT" + struct.pack("<BBIQQ", 0, 0, 0, len(records), len(packed)) + packed)
-        else:
-            data = self._block("DT", [], records)
-        return self._block("DG", [0, cg, data, 0], bytes(8))
+        return self._block("DG", [0, cg, self._data(records), 0], bytes(8))
+
+    def _data(self, records: bytes) -> int:
+        """Data blocks of ``block_bytes`` at most, under lists where there are several."""
+        starts = range(0, max(1, len(records)), self.block_bytes)
+        blocks = []
+        for at in starts:
+            part = records[at : at + self.block_bytes]
+            if self.compress:
+                packed = zlib.compress(part)
+                blocks.append(self._block("DZ", [], b"DT" + struct.pack("<BBIQQ", 0, 0, 0, len(part), len(packed)) + packed))
+            else:
+                blocks.append(self._block("DT", [], part))
+        if len(blocks) == 1:
+            return blocks[0]
+        following = 0
+        for i in reversed(range(0, len(blocks), self.list_links)):
+            held = blocks[i : i + self.list_links]
+            following = self._block("DL", [following, *held], struct.pack(f"<B3xI{len(held)}Q", 0, len(held), *starts[i : i + self.list_links]))
+        return following
 
     def close(self) -> None:
         self.f.seek(0)
@@ -401,11 +498,11 @@ class Writer:
         self.f.seek(0, 2)
 
 
-def write_rows(path: str, rows, start_ns: int = 0, compress: bool = False) -> None:
+def write_rows(path: str, rows, start_ns: int = 0, compress: bool = False, **blocks) -> None:
     """Writes an iterable of log rows (dicts or Rows) to a local file."""
     blank = dict.fromkeys(names(LOG_COLUMNS))
     with open(path, "w+b") as f:
-        w = Writer(f, start_ns, compress)
+        w = Writer(f, start_ns, compress, **blocks)
         for row in rows:
             w.write(blank | (row if isinstance(row, dict) else row.asDict()))
         w.close()
