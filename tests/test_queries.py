@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from wirelake.plans import queries_io  # noqa: F401  registers its queries
 from wirelake.plans.queries import ORACLE, QUERIES
 
 

@@ -6,6 +6,8 @@ give them the engine's columns, and the engine's own functions run on them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +59,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     days of the ship date (32)."""
     li = table(spark, sf_dir, "lineitem")
 
-    def le(value, width: int):
-        big = F.lpad(F.hex(value.cast("long")), 2 * width, "0")
-        return F.concat(*(F.substring(big, 2 * (width - i) - 1, 2) for i in range(width)))
+    def at(value, byte: int):  # the value's lowest byte, as that byte of the payload
+        return F.shiftleft(value.cast("long").bitwiseAND(F.lit(255)), 8 * (7 - byte))
 
-    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
-    data = F.concat(le(F.col("l_quantity"), 2), le(F.round(F.col("l_discount") * 100), 1), le(F.round(F.col("l_tax") * 100), 1), le(days, 4))
+    q, days = F.col("l_quantity").cast("long"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    parts = [at(q, 0), at(F.shiftright(q, 8), 1), at(F.round(F.col("l_discount") * 100), 2), at(F.round(F.col("l_tax") * 100), 3), *(at(F.shiftright(days, 8 * i), 4 + i) for i in range(4))]
+    whole = reduce(lambda x, y: x.bitwiseOR(y), parts)
+    data = F.lpad(F.hex(whole), 16, "0")
     return li.select(
         F.concat(F.lit("log"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".blf")).alias("_source_file"),
         F.lit("CAN").alias("message_type"),

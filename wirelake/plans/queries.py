@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelake.functions import bytes as B
-from wirelake.functions.names import uds_nrc, uds_service
+from wirelake.functions.names import UDS_NRCS, UDS_SERVICES, uds_nrc, uds_service
 from wirelake.functions.time import event_time, iso_ns, seconds
 from wirelake.operators import decode as D
 from wirelake.operators.diagnostics import isotp_frame, with_uds_fields
@@ -135,24 +135,24 @@ def pdu_occurrences(spark, sf):
     return frames(spark, sf).groupBy("can_id").agg(F.count(F.lit(1)).alias("n")).withColumn("can_id_hex", B.hex_id("can_id", 8)).orderBy("can_id")
 
 
-@query("""WITH u AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 127 WHEN 1 THEN 34 WHEN 2 THEN 98 ELSE 170 END AS sid, l_partkey % 60 AS a, l_suppkey % 128 AS b FROM lineitem)
+SERVICE_SQL = f"CASE a {' '.join(f"WHEN {k} THEN '{v}'" for k, v in UDS_SERVICES.items())} ELSE printf('Unknown_0x%02X', a) END"
+NRC_SQL = f"CASE b {' '.join(f"WHEN {k} THEN '{v}'" for k, v in UDS_NRCS.items())} ELSE printf('Unknown_0x%02X', b) END"
+
+
+@query(f"""WITH u AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 127 WHEN 1 THEN 34 WHEN 2 THEN 98 ELSE 170 END AS sid, l_partkey % 60 AS a, l_suppkey % 128 AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN sid = 127 THEN 'NegativeResponse' WHEN sid & 64 <> 0 THEN 'PositiveResponse' ELSE 'Request' END AS uds_type,
   CASE sid WHEN 127 THEN a WHEN 98 THEN 34 ELSE sid END AS service_id, CASE WHEN sid = 127 THEN b END AS nrc,
-  CASE WHEN sid = 127 AND b = 49 THEN 'RequestOutOfRange' WHEN sid = 127 AND b = 120 THEN 'RequestCorrectlyReceivedResponsePending' WHEN sid = 127 AND b IN (1, 2, 3, 4, 5) THEN printf('Unknown_0x%02X', b) END AS nrc_name,
-  CASE WHEN sid = 34 OR sid = 98 THEN 'ReadDataByIdentifier' WHEN sid = 170 THEN 'Unknown_0xAA' WHEN sid = 127 AND a = 34 THEN 'ReadDataByIdentifier' WHEN sid = 127 AND a = 17 THEN 'EcuReset' WHEN sid = 127 AND a < 16 THEN printf('Unknown_0x%02X', a) END AS service_name,
+  CASE WHEN sid = 127 THEN {NRC_SQL} END AS nrc_name,
+  CASE WHEN sid = 34 OR sid = 98 THEN 'ReadDataByIdentifier' WHEN sid = 170 THEN 'Unknown_0xAA' ELSE {SERVICE_SQL} END AS service_name,
   CASE WHEN sid = 127 THEN '' ELSE printf('%02X%02X', a, b) END AS data_hex
 FROM u""")
 def uds_parse(spark, sf):
-    """Names are compared where the SQL lists them."""
     p = F.col("l_partkey")
     a, b = p % 60, F.col("l_suppkey") % 128
     sid = F.when(p % 4 == 0, 0x7F).when(p % 4 == 1, 0x22).when(p % 4 == 2, 0x62).otherwise(0xAA)
     raw = F.unhex(F.concat(*(F.lpad(F.hex(x.cast("long")), 2, "0") for x in (sid, a, b))))
     rows = with_uds_fields(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"), raw.alias("uds")), "uds")
-    negative = F.col("uds_type") == "NegativeResponse"
-    shown_nrc = F.when(F.col("nrc").isin(49, 120, 1, 2, 3, 4, 5), F.col("nrc_name"))
-    shown = F.when(~negative | F.col("a").isin(34, 17) | (F.col("a") < 16), F.col("service_name"))
-    return rows.select("l_orderkey", "l_linenumber", "uds_type", F.col("service_id").cast("long").alias("service_id"), F.col("nrc").cast("long").alias("nrc"), shown_nrc.alias("nrc_name"), shown.alias("service_name"), F.hex("data").alias("data_hex"))
+    return rows.select("l_orderkey", "l_linenumber", "uds_type", F.col("service_id").cast("long").alias("service_id"), F.col("nrc").cast("long").alias("nrc"), "nrc_name", "service_name", F.hex("data").alias("data_hex"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, ['SF', 'FF', 'CF', 'FC'][l_partkey % 4 + 1] AS kind,
@@ -380,9 +380,11 @@ feat AS (SELECT _source_file, scene_id, segment_index, seg_start_s, seg_end_s, s
 features AS (SELECT *, last_v - first_v AS delta_v, max_v - min_v AS range_v, CASE WHEN cover_s = 0 THEN 0 ELSE on_s / cover_s END AS duty_cycle, n_transitions / (seg_end_s - seg_start_s) AS transition_rate_hz, n_samples / (seg_end_s - seg_start_s) AS sample_rate_hz FROM feat)"""
 
 
-def _features(spark, sf):
+def _features(spark, sf, several: bool = False):
+    """The features and the scenes; kept where ``several`` steps read them."""
     g, b = _grid(spark, sf)
-    return scenes.signal_features(g, b, GRID), b
+    f = scenes.signal_features(g, b, GRID)
+    return f.persist() if several else f, b
 
 
 @query(f"""WITH {FEATURE_SQL} SELECT scene_id, signal_key, n_samples, round(mean_v, 6) AS mean_v, round(std_v, 6) AS std_v, min_v, max_v, first_v, last_v, round(slope_per_s, 9) AS slope_per_s, n_transitions, round(delta_v, 6) AS delta_v, round(range_v, 6) AS range_v,
@@ -399,7 +401,7 @@ LONG_SQL = f"""{FEATURE_SQL}, long AS (SELECT _source_file, scene_id, signal_key
 
 @query(f"WITH {LONG_SQL} SELECT feature_key, count(DISTINCT scene_id) AS n_scenes, round(quantile_disc(feature_value, 0.5), 6) AS median_value FROM long GROUP BY 1")
 def scene_feature_medians(spark, sf):
-    f, _ = _features(spark, sf)
+    f, _ = _features(spark, sf, several=True)
     index = scenes.feature_index(f, GRID)
     counts = scenes.melt(f, scenes.CLUSTER_FEATURES).where("feature_value is not null").groupBy("feature_key").agg(F.countDistinct("scene_id").alias("n_scenes"))
     return index.select(F.explode("median_map").alias("feature_key", "m")).join(counts, "feature_key").select("feature_key", "n_scenes", F.round("m", 6).alias("median_value"))
@@ -409,22 +411,24 @@ def scene_feature_medians(spark, sf):
 x AS (SELECT s.scene_id, med.feature_key, coalesce(l.feature_value, med.m, 0) AS v FROM (SELECT DISTINCT scene_id FROM long) s CROSS JOIN med LEFT JOIN long l ON l.scene_id = s.scene_id AND l.feature_key = med.feature_key)
 SELECT scene_id, count(*) AS n, round(sum(v), 3) AS total FROM x GROUP BY 1""")
 def scene_vectors(spark, sf):
-    f, _ = _features(spark, sf)
+    f, _ = _features(spark, sf, several=True)
     v = scenes.vectors(f, scenes.feature_index(f, GRID))
     total = F.aggregate("feature_vector", F.lit(0.0), lambda a, x: a + x)
     return v.select("scene_id", F.size("feature_vector").cast("long").alias("n"), F.round(total, 3).alias("total"))
 
 
 Z_SQL = f"""{LONG_SQL}, med AS (SELECT feature_key, quantile_disc(feature_value, 0.5) AS m FROM long GROUP BY 1), mad AS (SELECT feature_key, quantile_disc(abs(feature_value - m), 0.5) AS mad FROM long JOIN med USING (feature_key) GROUP BY 1),
-z AS (SELECT scene_id, feature_key, feature_value, (feature_value - m) / greatest(1.4826 * mad, 1e-9) AS z FROM long JOIN med USING (feature_key) JOIN mad USING (feature_key))"""
+z AS (SELECT scene_id, feature_key, feature_value, m, mad, (feature_value - m) / greatest(1.4826 * mad, 1e-9) AS z FROM long JOIN med USING (feature_key) JOIN mad USING (feature_key))"""
 
 
-@query(f"WITH {Z_SQL} SELECT scene_id, feature_key, round(least(abs(z), 10.0), 4) AS abs_z FROM z WHERE feature_key NOT LIKE '%.duty_cycle' AND feature_key NOT LIKE '%.delta_v'")
+@query(f"WITH {Z_SQL} SELECT scene_id, feature_key, CASE WHEN mad < 1e-6 THEN CASE WHEN abs(feature_value - m) < 1e-6 THEN 0.0 ELSE 10.0 END ELSE round(least(abs(z), 10.0), 4) END::DOUBLE AS abs_z FROM z")
 def scene_feature_z(spark, sf):
-    """Flat features are left out: over a MAD of 0 the last digit decides."""
-    f, _ = _features(spark, sf)
-    z = scenes.feature_z(f, GRID).where("feature_key not like '%.duty_cycle' and feature_key not like '%.delta_v'")
-    return z.select("scene_id", "feature_key", F.round("abs_z", 4).alias("abs_z"))
+    """Over a MAD of 0 the last digit of a value would decide: such features have
+    0 at the median and the limit elsewhere."""
+    f, _ = _features(spark, sf, several=True)
+    z = scenes.feature_z(f, GRID)
+    flat = F.when(F.abs(F.col("feature_value") - F.col("median_value")) < 1e-6, 0.0).otherwise(10.0)
+    return z.select("scene_id", "feature_key", F.when(F.col("mad") < 1e-6, flat).otherwise(F.round("abs_z", 4)).alias("abs_z"))
 
 
 RULES = [
@@ -460,7 +464,7 @@ def anomaly_score(spark, sf):
 @query()
 def scene_clusters_full(spark, sf):
     """The whole scene table with clusters and scores; k-means is beyond SQL."""
-    f, b = _features(spark, sf)
+    f, b = _features(spark, sf, several=True)
     v = scenes.vectors(f, scenes.feature_index(f, GRID)).cache()
     return scenes.scenes(f, scenes.feature_z(f, GRID), scenes.cluster_assignments(v, GRID), _labels(f, b), GRID).orderBy("scene_id")
 
@@ -674,7 +678,7 @@ def doip_parse(spark, sf):
 @query(f"""WITH {FRAMES_SQL} SELECT timestamp_ns, part, 'Days' AS signal_name, (CAST('0x' || substr(data_hex, 9, 2) AS BIGINT) + 256 * CAST('0x' || substr(data_hex, 11, 2) AS BIGINT))::DOUBLE AS signal_value FROM frames WHERE can_id <= 260""")
 def container_signals(spark, sf):
     """The last four bytes of a frame as PDU 5 of a container, decoded."""
-    f = frames(spark, sf).where("can_id <= 260").withColumn("data", F.concat(F.unhex(F.lit("00000504")), F.substring("data", 5, 4)))
+    f = frames(spark, sf).withColumn("data", F.concat(F.unhex(F.lit("00000504")), F.substring("data", 5, 4)))
     d = spark.createDataFrame([(257 + i, "Days", 0, 16, "Intel", False, 1.0, 0.0, 5) for i in range(4)], "message_id long, signal_name string, start_bit int, bit_length int, byte_order string, is_signed boolean, scale double, offset double, pdu_id long")
     pdus = D.demux(f.select("timestamp_ns", "part", "can_id", "data"), d)
     return D.decode_pdus(pdus, d, drop=("pdu_payload", "pdu_id", "can_id")).drop("signal_str")
