@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -45,6 +46,33 @@ def test_simhash_edges(documents):
     assert simhash.fingerprint(long) == simhash.fingerprint(long)
 
 
+def test_fingerprint_equals_plain_votes(prose):
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    for text in ("", "One", "a a a b", prose(1, 80), prose(2, 400) + " é 中文"):
+        words = re.findall(r"\w+", text.lower())
+        h = [xxhash.xxh64_intdigest(w) & ~15 | min(len(w), 15) for w in words]
+        counts = {}
+        for x in h:
+            counts[x, min(x & 15, 8) ** 2 / 64] = counts.get((x, min(x & 15, 8) ** 2 / 64), 0) + 1
+        for x, y in zip(h, h[1:]):
+            pair = (x * 0x9E3779B97F4A7C15 & mask) ^ (y + (y << 7 & mask) & mask)
+            counts[pair, 1.0] = counts.get((pair, 1.0), 0) + 1
+        votes = [0] * 128
+        for (term, weight), n in counts.items():
+            w = max(1, round(16 * (weight * (1 + math.log(n)))))
+            low = mix(term)
+            bits = low.to_bytes(8, "little") + mix(low + 0x9E3779B97F4A7C15 & mask).to_bytes(8, "little")
+            for i in range(128):
+                votes[i] += w if bits[i // 8] >> (7 - i % 8) & 1 else -w
+        assert simhash.fingerprint(text) == sum(1 << (127 - i) for i in range(128) if votes[i] > 0)
+
+
 def test_within_radius_equals_brute_force(spark):
     r = random.Random(1)
     base = [r.getrandbits(128) for _ in range(60)]

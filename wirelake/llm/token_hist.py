@@ -7,7 +7,9 @@ tokens that remain when every document is cut at L. The sums run in two levels
 (blocks of lengths, then within a block), so no task gathers all lengths.
 
 Cases: null and empty texts count as length 0. Ties share a row. Repeated rows
-count as often as they occur. An empty table gives no rows.
+count as often as they occur. Very long texts are encoded whole. An empty table
+gives no rows, and ``at_limit`` zeros. Only the text is read, so clashing names do
+no harm.
 """
 
 from __future__ import annotations
