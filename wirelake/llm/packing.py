@@ -2,10 +2,11 @@
 
 A document's ids (with one closing id 0) are cut into pieces. A piece of length
 n belongs to the reciprocal class k = capacity // n, capacity/(k + 1) < n <=
-capacity/k, whose bins hold exactly k pieces each. Because documents may be cut,
-a piece is chosen to fill its class: what is left of a document is one piece
-where k of its length leave at most 1/``SLACK`` of a sequence empty, as every
-length from class ``SLACK`` on does; else the longest reciprocal that is shorter,
+capacity/k, whose bins hold exactly k pieces each; from class ``SLACK`` on all
+pieces, 1/``SLACK`` of a sequence at most, are one class, whose bins take the next
+piece as long as it fits. Because documents may be cut, a piece is chosen to fill
+its class: what is left of a document is one piece where k of its length leave at
+most 1/``SLACK`` of a sequence empty; else the longest reciprocal that is shorter,
 capacity // (k + 1), is cut off and the rest goes on the same way.
 
 Each worker fills the bins of each class on its own, so nothing is shuffled.
@@ -67,6 +68,7 @@ class Bins:
     def __init__(self, capacity: int, worker: int):
         self.capacity, self.next_id = capacity, worker << 40
         self.open: dict[int, list] = {}
+        self.small = 0  # tokens in the open bin of the last class
 
     def _close(self, pieces: list):
         sequence, self.next_id, offset = self.next_id, self.next_id + 1, 0
@@ -75,15 +77,20 @@ class Bins:
             offset += length
 
     def put(self, piece: tuple, length: int):
-        k = self.capacity // length
+        k = min(self.capacity // length, SLACK)
+        if k == SLACK and self.small + length > self.capacity:
+            yield from self._close(self.open.pop(k))
+            self.small = 0
         bin_ = self.open.setdefault(k, [])
         bin_.append((piece, length))
-        if len(bin_) == k:
+        if k == SLACK:
+            self.small += length
+        elif len(bin_) == k:
             yield from self._close(self.open.pop(k))
 
     def finish(self):
-        """What is left, of all classes: best fit by descending length. At most
-        k - 1 pieces of each class wait here."""
+        """What is left, of all classes: best fit by descending length. Some two
+        thousand pieces wait here at most."""
         by_length: dict[int, list] = {}
         for k in sorted(self.open):
             for item in self.open[k]:
@@ -123,7 +130,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, wi
                     piece = (doc, start, length, crc32_u32(part), len(ids))
                     for row in bins.put((*piece, part) if with_ids else piece, length):
                         rows.append(order(row))
-                    if len(rows) >= 20_000:
+                    if len(rows) >= 2000:
                         yield batch(rows)
                         rows = []
         rows += [order(r) for r in bins.finish()]
