@@ -5,6 +5,16 @@ import pytest
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def no_tables_left(request):
+    """What a test has stored is deleted after it."""
+    yield
+    if "spark" in request.fixturenames:
+        from wirelake.llm import common
+
+        common.release(request.getfixturevalue("spark"))
+
+
 @pytest.fixture
 def documents(spark):
     """documents([(id, text), ...]) with the table's columns."""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored, text_or_empty
-from .spans import NONE, described, with_replaced, with_spans
+from .spans import NONE, described, once, with_replaced, with_spans
 
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
@@ -78,9 +78,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     value = {"email": "lower(x.v)", "ip": "x.v", "card": _DIGITS.replace("$v", "x.v"), "phone": _DIGITS.replace("$v", "x.v")}
     each = ", ".join(f"transform({k}, x -> concat('{k}:', {value[k]}))" for k in KINDS)
     blank = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'r', ''))" for k in KINDS)
-    rows = with_replaced(rows.withColumn("blank", F.expr(f"array_sort(concat({blank}))")), "outside", "__t", "blank", blank=True)
-    rows = rows.withColumn("seq", F.expr(f"if(size(blank) > 0, {_words('outside')}, cast(array() as array<string>))"))
-    rows = rows.withColumn("placed", F.expr("array_sort(transform(seq, (w, i) -> named_struct('term', w, 'c', xxhash64(get(seq, i - 1), get(seq, i + 1)))))"))
+    rows = with_replaced(rows.withColumn("blank", once(f"array_sort(concat({blank}))")), "outside", "__t", "blank", blank=True)
+    rows = rows.withColumn("seq", once(f"if(size(blank) > 0, {_words('outside')}, cast(array() as array<string>))"))
+    rows = rows.withColumn("placed", once("array_sort(transform(seq, (w, i) -> named_struct('term', w, 'c', xxhash64(get(seq, i - 1), get(seq, i + 1)))))"))
     words = "filter(placed, (x, i) -> i = 0 or x.term <> get(placed, i - 1).term)"
     return rows.select("doc_id", "text_key", *KINDS, F.expr(f"array_distinct(concat({each}))").alias("entities"), F.expr(words).alias("words"))
 
@@ -132,10 +132,10 @@ def _with_terms(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame
     by_row = by_row.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").select("i", "k", "terms", "base")
     rows = texts.join(small(stored(by_row)), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
     # base spans are blanked, so that words inside and beside them are told apart
-    blank = F.expr(f"array_sort(transform(coalesce(base, {NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '')))")
-    rows = with_replaced(rows.withColumn("blank", blank), "outside", "__t", "blank", blank=True)
+    blank = f"array_sort(transform(coalesce(base, {NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '')))"
+    rows = with_replaced(rows.withColumn("blank", once(blank)), "outside", "__t", "blank", blank=True)
     rows = with_spans(rows, "words", "outside", r"\p{L}++", "true", "array_contains(terms, lower($v))")
-    return rows.select("doc_id", "text_key", F.col("words").alias("term")).where("size(term) > 0")
+    return stored(rows.select("doc_id", "text_key", F.col("words").alias("term"))).where("size(term) > 0")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def find(docs: DataFrame) -> DataFrame:
     none = F.slice("email", 1, 0)
     if found is None or found.isEmpty():
         return base.withColumn("term", none)
-    extra = stored(_with_terms(docs, base, found)).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
+    extra = _with_terms(docs, base, found).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
     joined = base.join(small(extra), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").drop("i", "k")
     return joined.withColumn("term", F.coalesce("term", none))
 
@@ -160,15 +160,15 @@ def redact(docs: DataFrame) -> DataFrame:
     base = stored(base_spans(plain))
     found = disclosed(plain, base)
     rows = docs.select("doc_id", F.struct(*columns).alias("row"), text_or_empty().alias("__t"))
-    rows = _based(rows)
     if found is not None and not found.isEmpty():
-        extra = stored(_with_terms(plain, base, found)).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
+        extra = _with_terms(plain, base, found).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "term")
         rows = rows.withColumn("text_key", F.xxhash64("__t"))
         rows = rows.join(small(extra), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left")
     else:
-        rows = rows.withColumn("term", F.slice("email", 1, 0))
+        rows = rows.withColumn("term", F.expr(NONE))
+    rows = _based(rows)
     marks = ", ".join(f"transform(coalesce({k}, {NONE}), x -> named_struct('s', x.s, 'e', x.e, 'r', '<{k.upper()}>'))" for k in (*KINDS, "term"))
-    rows = rows.withColumn("marks", F.expr(f"array_sort(concat({marks}))"))
+    rows = rows.withColumn("marks", once(f"array_sort(concat({marks}))"))
     rows = with_replaced(rows, "changed", "__t", "marks")
     touched = F.size("marks") > 0
 

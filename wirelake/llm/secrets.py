@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .spans import literal, with_replaced, with_spans
+from .common import stored, text_or_empty
+from .spans import literal, once, with_replaced, with_spans
 
 WINDOW = 20
 
@@ -59,27 +59,33 @@ ALLOW = (
     "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
 )
 
-_FIRST, _LAST = 43, 122  # '+' to 'z'
+RUN = "[A-Za-z0-9+/_=-]"
+
+
+def _bind(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _entropy(v: str) -> str:
-    """SQL: the highest entropy of a window over ``v``."""
+    """SQL: the highest entropy of a window over ``v``. Characters go by their
+    number among the distinct ones, so the counts are as many as these."""
     weight = "if({k} > 1, {k} * log2({k}), 0D)".format
-    start = f"transform(sequence({_FIRST}, {_LAST}), a -> size(filter(slice(__c, 1, {WINDOW}), z -> z = a)))"
+    start = f"transform(sequence(1, size(__d)), a -> size(filter(slice(__c, 1, {WINDOW}), z -> z = a)))"
     total = f"aggregate(__k, 0D, (t, k) -> t + {weight(k='k')})"
-    leaves, enters = f"(element_at(__c, i - {WINDOW}) - {_FIRST})", f"(element_at(__c, i) - {_FIRST})"
-    down, up = f"element_at(acc.k, {leaves} + 1)", f"element_at(acc.k, {enters} + 1)"
+    leaves, enters = f"element_at(__c, i - {WINDOW})", "element_at(__c, i)"
+    down, up = f"element_at(acc.k, {leaves})", f"element_at(acc.k, {enters})"
+    sum_ = f"acc.s - {weight(k=down)} + {weight(k=f'({down} - 1)')} - {weight(k=up)} + {weight(k=f'({up} + 1)')}"
     step = f"""if({leaves} = {enters}, acc, named_struct(
-        'k', transform(acc.k, (n, j) -> n - if(j = {leaves}, 1, 0) + if(j = {enters}, 1, 0)),
-        's', acc.s - {weight(k=down)} + {weight(k=f'({down} - 1)')} - {weight(k=up)} + {weight(k=f'({up} + 1)')},
-        'least', least(acc.least, acc.s - {weight(k=down)} + {weight(k=f'({down} - 1)')} - {weight(k=up)} + {weight(k=f'({up} + 1)')})))"""
+        'k', transform(acc.k, (n, j) -> n - if(j + 1 = {leaves}, 1, 0) + if(j + 1 = {enters}, 1, 0)),
+        's', {sum_}, 'least', least(acc.least, {sum_})))"""
     slide = f"if(size(__c) <= {WINDOW}, __s, aggregate(sequence({WINDOW + 1}, size(__c)), named_struct('k', __k, 's', __s, 'least', __s), (acc, i) -> {step}, acc -> acc.least))"
+    best = f"log2({WINDOW}D) - {slide} / {WINDOW}"
+    numbered = "transform(__v, z -> cast(array_position(__d, z) as int))"
+    return _bind("__v", f"split({v}, '')", _bind("__d", "array_distinct(__v)", _bind("__c", numbered, _bind("__k", start, _bind("__s", total, best)))))
 
-    def bind(name: str, value: str, body: str) -> str:
-        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    codes = f"transform(split({v}, ''), z -> ascii(z))"
-    return bind("__c", codes, bind("__k", start, bind("__s", total, f"log2({WINDOW}D) - {slide} / {WINDOW}")))
+def _of_class(v: str, chars: str, least: float) -> str:
+    return f"when {v} rlike '^(?:{'|'.join(f'(?:{c})+' for c in chars.split('|'))})$' then {least}D"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -87,14 +93,20 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("__t"))
     for kind, (pattern, guard, keep) in KINDS.items():
         rows = with_spans(rows, kind, "__t", pattern, guard.format(t="__t"), keep)
-    rows = with_spans(rows, "harmless", "__t", HARMLESS, r"__t rlike r'[0-9a-fA-F]-[0-9a-fA-F]{4}-|1234567890|(?i:abcdefghij)|([A-Za-z0-9+/_=-])\1{7}'")
+    # only texts with a run that is long enough are looked at further
+    rows = rows.withColumn("long", once(f"__t rlike '{RUN}{{{WINDOW}}}'"))
+    rows = with_spans(rows, "harmless", "__t", HARMLESS, "long")
     blank = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'r', ''))" for k in (*KINDS, "harmless"))
-    rows = with_replaced(rows.withColumn("blank", F.expr(f"array_sort(concat({blank}))")), "left", "__t", "blank", blank=True)
+    rows = rows.withColumn("blank", once(f"if(long, array_sort(concat({blank})), cast(array() as array<struct<s:int,e:int,r:string>>))"))
+    rows = with_replaced(rows, "left", "__t", "blank", blank=True)
     allowed = " or ".join(f"$v rlike {literal(p)}" for p in ALLOW)
-    rows = with_spans(rows, "runs", "left", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+", f"left rlike '[A-Za-z0-9+/_=-]{{{WINDOW}}}'", f"not ({allowed})")
-    threshold = " ".join(f"when x.v rlike '^(?:{'|'.join(f'(?:{c})+' for c in chars.split('|'))})$' then {least}" for _, chars, least in CLASSES)
-    high = f"filter(runs, x -> {_entropy('x.v')} >= case {threshold} end)"
-    return rows.select("doc_id", *KINDS, F.expr(high).alias("entropy"))
+    rows = with_spans(rows, "runs", "left", rf"(?<!{RUN}){RUN}{{{WINDOW},}}+", "long", f"not ({allowed})")
+    rows = rows.withColumn("bits", once(f"transform(runs, x -> case {' '.join(_of_class('x.v', chars, least) for _, chars, least in CLASSES)} end)"))
+    # so many different characters a window with that entropy has to hold
+    able = "size(array_distinct(split(x.v, ''))) >= pow(2D, get(bits, i)) - 1e-9"
+    high = f"filter(runs, (x, i) -> {able} and {_entropy('x.v')} >= get(bits, i))"
+    # stored, so that what is done with the spans isn't planned together with them
+    return stored(rows.select("doc_id", *KINDS, once(high).alias("entropy")))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -22,6 +22,14 @@ def literal(pattern: str) -> str:
     raise ValueError("write one kind of quote as \\x22 or \\x27")
 
 
+def once(sql: str) -> Column:
+    """``sql`` as a column that is evaluated where it stands: filters aren't
+    pushed below it and no constraints are derived from it, either of which would
+    copy the whole expression at each mention, beyond any memory where columns
+    build on one another."""
+    return F.when(F.rand(0) >= 0, F.expr(sql))
+
+
 #: Running values are taken in blocks of so many, so that no array grows by one
 #: element at a time through all matches of a text.
 BLOCK = 128
@@ -50,14 +58,14 @@ def with_spans(df: DataFrame, name: str, text: str, pattern: str, guard: str, ke
     matches, linear in them up to some ten million a text."""
     lit = literal(pattern)
     m, sizes, starts = (f"__{x}_{name}" for x in ("m", "l", "at"))
-    df = df.withColumn(m, F.expr(f"if({guard}, regexp_extract_all({text}, {lit}, 0), cast(array() as array<string>))"))
+    df = df.withColumn(m, once(f"if({guard}, regexp_extract_all({text}, {lit}, 0), cast(array() as array<string>))"))
     gaps = f"slice(split({text}, {lit}, -1), 1, size({m}))"
-    df = df.withColumn(sizes, F.expr(f"if(size({m}) = 0, cast(array() as array<int>), zip_with({gaps}, {m}, (g, v) -> char_length(g) + char_length(v)))"))
-    df = df.withColumn(starts, F.expr(running(sizes, "acc.at + x")))
+    df = df.withColumn(sizes, once(f"if(size({m}) = 0, cast(array() as array<int>), zip_with({gaps}, {m}, (g, v) -> char_length(g) + char_length(v)))"))
+    df = df.withColumn(starts, once(running(sizes, "acc.at + x")))
     ends = f"zip_with({starts}, {sizes}, (a, n) -> a + n)"
     spans = f"zip_with({ends}, {m}, (e, v) -> named_struct('s', e - char_length(v), 'e', e, 'v', v))"
     kept = spans if keep == "true" else f"filter({spans}, x -> {keep.replace('$v', 'x.v')})"
-    return df.withColumn(name, F.expr(f"if(size({m}) = 0, {NONE}, {kept})")).drop(m, sizes, starts)
+    return df.withColumn(name, once(f"if(size({m}) = 0, {NONE}, {kept})")).drop(m, sizes, starts)
 
 
 def described(spans: str, kind: str) -> Column:
@@ -71,20 +79,21 @@ def with_replaced(df: DataFrame, name: str, text: str, spans: str, blank: bool =
     extend it. With ``blank`` all of it becomes spaces, as many as it is long. The
     text is cut in as many parts as each part has spans, so that the time grows
     with text times the root of the spans."""
-    seen, heads = f"__seen_{name}", f"__heads_{name}"
-    df = df.withColumn(seen, F.expr(running(f"transform({spans}, x -> x.e)", "greatest(acc.at, x)")))
+    seen, heads, ends = f"__seen_{name}", f"__heads_{name}", f"__ends_{name}"
+    df = df.withColumn(ends, once(f"transform({spans}, x -> x.e)"))
+    df = df.withColumn(seen, once(running(ends, "greatest(acc.at, x)")))
     with_seen = f"zip_with({spans}, {seen}, (x, p) -> named_struct('p', p, 's', x.s, 'r', x.r))"
-    df = df.withColumn(heads, F.expr(f"filter({with_seen}, x -> x.s >= x.p)"))
+    df = df.withColumn(heads, once(f"filter({with_seen}, x -> x.s >= x.p)"))
     if blank:  # what one covers is written before the text that follows it
         starts = f"slice(concat(array(0), transform({heads}, x -> x.s)), 1, size({heads}))"
-        df = df.withColumn(heads, F.expr(f"zip_with({heads}, {starts}, (x, q) -> named_struct('p', x.p, 's', x.s, 'r', repeat(' ', x.p - q)))"))
+        df = df.withColumn(heads, once(f"zip_with({heads}, {starts}, (x, q) -> named_struct('p', x.p, 's', x.s, 'r', repeat(' ', x.p - q)))"))
     width = f"cast(ceil(sqrt(size({heads}))) as int)"
     cut = f"transform(sequence(0, (size({heads}) - 1) div {width}), b -> slice({heads}, b * {width} + 1, {width}))"
     lo, hi = "element_at(h, 1).p", "element_at(h, -1).s"
     part = f"substring({text}, {lo} + 1, {hi} - {lo})"
     kept = f"substring(c, x.p - {lo} + 1, x.s - x.p)"
     filled = f"transform(array({part}), c -> array_join(transform(h, x -> {f'concat(x.r, {kept})' if blank else f'concat({kept}, x.r)'}), ''))"
-    last = f"array_max(transform({spans}, x -> x.e))"
+    last = f"array_max({ends})"
     end = f"repeat(' ', {last} - element_at({heads}, -1).s)" if blank else "''"
     whole = f"concat(array_join(flatten(transform({cut}, h -> {filled})), ''), {end}, substring({text}, {last} + 1, char_length({text})))"
-    return df.withColumn(name, F.expr(f"if(size({spans}) = 0, {text}, {whole})")).drop(seen, heads)
+    return df.withColumn(name, once(f"if(size({spans}) = 0, {text}, {whole})")).drop(seen, heads, ends)
