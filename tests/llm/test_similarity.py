@@ -444,6 +444,7 @@ def test_pipeline_takes_any_rows_and_leaves_no_tables(spark, documents, prose, t
         df.write.parquet(f"{folder}/documents.parquet")
         common.release(spark)
         root = f"{common.shared_root(spark)}/wirelake"
+        os.makedirs(root, exist_ok=True)
         others = set(os.listdir(root))  # a shared folder
         state = spark.read.parquet(f"{folder}/documents.parquet")
         for _, stage in corpus_pipeline.STAGES[:-1]:
