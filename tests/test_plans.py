@@ -215,6 +215,18 @@ def test_viewer(spark):
     assert cache.get("a") is None and cache.get("c") == "c"
 
 
+def test_pivot_grid_is_whole(spark):
+    at = "if(id = 7, null, id * 1000)"
+    rows = spark.range(60_001).selectExpr("'a.blf' as _source_file", "'CAN' as signal_source", "cast(id % 3 as int) as channel", "'x' as signal_name", f"{at} as timestamp_ns", f"{at} / 1e9 as timestamp_s", "timestamp_millis(id) as event_time", "cast(id as double) as signal_value", "cast(null as string) as signal_str")
+    rows = rows.unionByName(rows.where("channel = 1").withColumn("timestamp_ns", F.col("timestamp_ns") + 1)).unionByName(rows.where("channel = 1"))
+    grid = viewer.pivot_grid(rows, [("CAN", 1, "x"), ("CAN", 2, "x")])
+    assert grid.schema["position"].dataType.simpleString() == "int"
+    got = grid.collect()
+    assert [r["position"] for r in got] == list(range(1, 60_001))
+    assert got[0]["CAN1::x"] == "1.0" and got[0]["CAN2::x"] == "2.0" and got[59_000]["CAN2::x"] is None
+    assert got[-1]["time"] is None and got[-1]["CAN1::x"] == "7.0"  # samples without a time come last
+
+
 def test_asof_equals_brute_force(spark):
     r = np.random.default_rng(1)
     left = [(f"f{i % 3}", int(t), float(i)) for i, t in enumerate(r.integers(0, 500, 120))]

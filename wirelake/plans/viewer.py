@@ -149,14 +149,15 @@ def _with_line(df: DataFrame, lines: DataFrame, by: list[str], extra: tuple[str,
 
 def numbered(df: DataFrame, by: list[str], on: str, order: list[str]) -> DataFrame:
     """Adds ``__row`` (from 0) and ``__rows``: a row's place in its line by
-    ``order``, which starts with ``on``, and the line's length. Rows are numbered
-    within stretches, to which the stretches before are added."""
+    ``order``, which starts with ``on``, and the line's length; nulls come last.
+    Rows are numbered within stretches, to which the stretches before are added."""
     cells = stretched(df, by, on)
+    cells = cells.withColumn("__cell", F.when(F.col(on).isNull(), F.lit(STRETCHES)).otherwise(F.col("__cell")))
     counts = cells.groupBy(*by, "__cell").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*by, "__cell", before.alias("__before"), F.sum("__n").over(w).alias("__rows"))
-    inside = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(*order)) - 1
+    inside = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(*(F.col(c).asc_nulls_last() for c in order))) - 1
     placed = _with_line(cells.withColumn("__in", inside), counts, by, ("__cell",))
     return placed.withColumn("__row", F.col("__before") + F.col("__in")).drop("__cell", "__in", "__before")
 
@@ -260,11 +261,12 @@ def scale_traces(samples: DataFrame) -> DataFrame:
     return samples.withColumn("scaled", F.when(plain, F.col("signal_value")).otherwise(F.try_divide(F.col("signal_value") - (high + low) / 2, (high - low) / 2)))
 
 
-def pivot_grid(samples: DataFrame, keys: list[Key], most: int = 50_000) -> DataFrame:
+def pivot_grid(samples: DataFrame, keys: list[Key]) -> DataFrame:
     """One row per position within the traces: the first trace's time and one
-    column per trace."""
-    w = Window.partitionBy(*CATALOG).orderBy("timestamp_ns", "signal_value", "signal_str")
-    placed = samples.where(any_key(keys)).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
+    column per trace. All positions are returned; who shows them cuts pages."""
+    placed = numbered(samples.where(any_key(keys)), list(CATALOG), "timestamp_ns", ["timestamp_ns", "signal_value", "signal_str"])
+    placed = placed.withColumn("position", (F.col("__row") + 1).cast("int"))
+
     def cell(k: Key) -> Column:
         shown = "ETH" if k[0] == "SOMEIP" else k[0]
         return F.max(F.when(any_key([k]), F.coalesce("signal_str", F.col("signal_value").cast("string")))).alias(f"{shown}{k[1]}::{k[2]}")
