@@ -188,6 +188,25 @@ def test_scene_edges(spark):
     assert t["scenes"].count() == 0 and t["feature_index"].first()["n_features"] == 0
 
 
+def varied(spark, n):
+    """Two signals of ``n`` samples each, all of different values, and one without any value."""
+    rows = spark.range(3 * n).repartition(6).selectExpr("'a.blf' as _source_file", "'CAN' as signal_source", "1 as channel", "elt(id % 3 + 1, 'x', 'y', 'z') as signal_name", "id * 1000000 as timestamp_ns", "id / 1e3 as timestamp_s", "timestamp_millis(id) as event_time", "pmod(xxhash64(id), 1000003) * 1D + id / 1e7 as signal_value", "cast(null as string) as signal_str")
+    rows = rows.withColumn("signal_value", F.when(F.col("signal_name") == "z", F.lit(None)).otherwise(F.col("signal_value")))
+    return rows.withColumn("signal_value", F.when(F.col("timestamp_ns") % 11_000_000 != 0, F.col("signal_value"))).cache()
+
+
+def test_quartiles_are_exact(spark):
+    gold = varied(spark, 40_000)
+    stats = {r["signal_name"]: r for r in scenes.signal_stats(gold).collect()}
+    assert set(stats) == {"x", "y", "z"} and stats["z"]["median_value"] is None and stats["z"]["robust_sigma"] == 1e-9
+    for name in "xy":
+        v = np.sort([r[0] for r in gold.where(f"signal_name = '{name}' and signal_value is not null").select("signal_value").collect()])
+        low, middle, high = (v[math.ceil(len(v) * q) - 1] for q in (0.25, 0.5, 0.75))
+        r = stats[name]
+        assert (r["median_value"], r["robust_sigma"], r["n_samples"]) == (middle, (high - low) / 1.349, 40_000)
+        assert (r["t_min_s"], r["t_max_s"]) == ((0.0, 119.997) if name == "x" else (0.001, 119.998))
+
+
 def test_viewer(spark):
     gold = drive(spark).cache()
     key = viewer.parse_key("CAN1::VehicleSpeed_kmh")
