@@ -207,6 +207,29 @@ def test_quartiles_are_exact(spark):
         assert (r["t_min_s"], r["t_max_s"]) == ((0.0, 119.997) if name == "x" else (0.001, 119.998))
 
 
+def test_changepoints_are_exact(spark):
+    gold = varied(spark, 40_000)
+    p = scenes.Params(changepoint_signals=("x",), changepoint_k=0.5, quantum_s=7.0)
+    got = {r["boundary_s"]: r["strength"] for r in scenes.changepoints(gold, scenes.signal_stats(gold, p), p).collect()}
+    rows = sorted((r[0], r[1]) for r in gold.where("signal_name = 'x'").select("timestamp_s", "signal_value").collect())
+    v = np.sort([x for _, x in rows if x is not None])
+    sigma = (v[math.ceil(len(v) * 0.75) - 1] - v[math.ceil(len(v) * 0.25) - 1]) / 1.349
+    want = {}
+    for (_, before), (t, x) in zip(rows, rows[1:]):
+        if x is not None and before is not None and abs(x - before) / sigma > 0.5:
+            at = math.floor(t / 7.0 + 0.5) * 7.0
+            want[at] = max(want.get(at, 0.0), abs(x - before) / sigma)
+    assert got == want and len(want) == 18
+
+
+def test_missing_values_follow_at_equal_times(spark):
+    rows = [("a.blf", "CAN", 1, "x", t, t / 1e9, None, v, None) for t, v in ((1, 0.0), (2, None), (2, 50.0), (3, 50.0), (4, 1.0), (5, 0.0))]
+    gold = spark.createDataFrame(rows, GOLD)
+    p = scenes.Params(changepoint_signals=("x",), quantum_s=1e-9)
+    stats = scenes.signal_stats(gold, p).withColumn("robust_sigma", F.lit(10.0))
+    assert [(round(r["boundary_s"] * 1e9), r["strength"]) for r in scenes.changepoints(gold, stats, p).orderBy("boundary_s").collect()] == [(2, 5.0), (4, 4.9)]
+
+
 def test_viewer(spark):
     gold = drive(spark).cache()
     key = viewer.parse_key("CAN1::VehicleSpeed_kmh")
