@@ -146,6 +146,45 @@ def test_objects_span_containers(tmp_path, cut):
     assert [(r["timestamp_ns"], r["can_id"]) for r in got] == [(10_000, 1), (20_000, 2)]
 
 
+def test_many_containers_are_read_in_few_tasks(tmp_path, monkeypatch):
+    raw_file(tmp_path / "m.blf", [objects([can(k, k, bytes(8)) for k in range(2 * i, 2 * i + 2)]) for i in range(2500)])
+    raw_file(tmp_path / "n.blf", [objects([can(9, 9, bytes(8))])])
+    reader = blf.BlfReader({"path": str(tmp_path), "containersPerPartition": "1", "types": "CAN"})
+    slices = reader.partitions()
+    assert 500 < len(slices) <= blf.MOST_PARTITIONS + 2
+    opened = blf.open_file
+    heads = 0
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.read = f, f.read
+
+        def seek(self, at):
+            nonlocal heads
+            heads += 1
+            return self.f.seek(at)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    monkeypatch.setattr(blf, "open_file", lambda path: Counted(opened(path)))
+    got = [r for s in slices for b in reader.read(s) for r in b.to_pylist()]
+    assert heads < 4 * 2500  # not every header for every slice
+    assert sorted(r["can_id"] for r in got if r["_source_file"].endswith("m.blf")) == list(range(5000))
+    assert len(got) == 5001 and len({(r["_source_file"], r["row_in_file"]) for r in got}) == 5001
+
+
+def test_an_object_over_many_containers(tmp_path):
+    buf = objects([can(1, 1, bytes(8)), dict(can(2, 2, bytes(8)), message_type="ETH", data=bytes(1600), src_addr=bytes(6), dst_addr=bytes(6), ether_type=0x800), can(3, 3, bytes(8))])
+    raw_file(tmp_path / "w.blf", [buf[k : k + 16] for k in range(0, len(buf), 16)])
+    reader = blf.BlfReader({"path": str(tmp_path / "w.blf"), "containersPerPartition": "2"})
+    got = [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+    assert [r["message_type"] for r in got] == ["CAN", "ETH", "CAN"] and got[1]["data"] == bytes(1600)
+
+
 def test_slices_meet_inside_an_object(tmp_path):
     buf = objects([can(10_000 * i, i, bytes(8)) for i in range(9)])
     path = str(tmp_path / "y.blf")
