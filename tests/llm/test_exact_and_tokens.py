@@ -43,6 +43,19 @@ def test_refine(documents, digest, buckets, monkeypatch):
         assert {r["doc_id"] for r in out if r["full_hash"]} == {None, 1, 2, 3, 4, 6, 7, 8, 9}
 
 
+def test_the_first_levels_decide_with_digests_too(spark, sf, documents, monkeypatch):
+    from wirelake.llm import queries
+
+    levels, seen = exact_dedup._surviving, []
+    monkeypatch.setattr(exact_dedup, "_surviving", lambda heads: seen.append(heads.columns) or levels(heads))
+    want = queries.op3_exact_dedup(spark, sf)
+    assert seen == [["len", "head"]] and want.where("group_size > 1").count() > 0
+    # groups are formed only among rows that share length and head
+    monkeypatch.setattr(exact_dedup, "_surviving", lambda heads: levels(heads).where("false"))
+    out = exact_dedup.refine(documents(ROWS), digest=True).collect()
+    assert len(out) == len(ROWS) and {r["group_size"] for r in out} == {1} and all(r["full_hash"] for r in out)
+
+
 def test_refine_equals_brute_force(documents):
     r = random.Random(2)
     heads = ["x" * 200, "y" * 200, "", "é" * 130]

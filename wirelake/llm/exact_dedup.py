@@ -43,20 +43,20 @@ def _slot():
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per row: id, keep_id, group_size, kept and ``full_hash`` (null where the
-    first two levels already tell the row apart, unless ``digest``)."""
+    first two levels already tell the row apart). With ``digest`` that column shows
+    the hash of every text; of those that are told apart it decides nothing."""
     text = text_or_empty(text_col)
     head = [F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head")]
+    bitmap = F.broadcast(_surviving(docs.select(*head)))  # BUCKETS rows of 4 KB at most
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), *head)
+    rows = rows.withColumn("slot", _slot()).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(bitmap, "bucket", "left")
+    place = "cast(bitmap_bit_position(slot) as int)"
+    byte = f"conv(hex(substring(bits, {place} div 8 + 1, 1)), 16, 10)"
+    survives = F.expr(f"coalesce(cast({byte} as int) & shiftleft(1, {place} % 8), 0) <> 0")
     full = F.sha2("t", 256)
-    if not digest:
-        bitmap = F.broadcast(_surviving(docs.select(*head)))  # BUCKETS rows of 4 KB at most
-        rows = rows.withColumn("slot", _slot()).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(bitmap, "bucket", "left")
-        place = "cast(bitmap_bit_position(slot) as int)"
-        byte = f"conv(hex(substring(bits, {place} div 8 + 1, 1)), 16, 10)"
-        full = F.when(F.expr(f"coalesce(cast({byte} as int) & shiftleft(1, {place} % 8), 0) <> 0"), full)
     # rows are numbered as they are written, to tell repeated ones apart
-    hashed = stored(rows.select("id", full.alias("full_hash"), F.monotonically_increasing_id().alias("row")))
-    shared = hashed.where("full_hash is not null")
+    hashed = stored(rows.select("id", (full if digest else F.when(survives, full)).alias("full_hash"), survives.alias("survives"), F.monotonically_increasing_id().alias("row")))
+    shared = hashed.where("survives")
     groups = shared.groupBy("full_hash").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top")).where("n > 1")
     single = F.col("n").isNull()
     marked = shared.join(stored(groups), "full_hash", "left").select(
@@ -66,10 +66,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         (single | (F.col("row") == F.col("top.row"))).alias("kept"),
         "full_hash",
     )
-    if digest:
-        return marked
     one = F.lit(1).cast("long").alias("group_size")
-    return marked.unionByName(hashed.where("full_hash is null").select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), one, F.lit(True).alias("kept"), "full_hash"))
+    return marked.unionByName(hashed.where("not survives").select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), one, F.lit(True).alias("kept"), "full_hash"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

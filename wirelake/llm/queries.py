@@ -32,8 +32,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.refine(table(spark, sf_dir, "documents"), digest=True)
-    return marked.withColumnRenamed("full_hash", "text_sha256")
+    """Groups come from the three levels; the digest of the texts that the first
+    two tell apart is only shown."""
+    return exact_dedup.refine(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("full_hash", "text_sha256")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
