@@ -251,6 +251,26 @@ def test_components(spark):
     assert {r["node"]: r["comp"] for r in out} == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
 
 
+def test_components_of_few_edges_need_no_jobs(spark, monkeypatch):
+    from wirelake.llm import common
+
+    r = random.Random(8)
+    edges = [(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(130)] + [(5, 5)] * 2 + [(2**62, -(2**62)), (2**62 - 1, 2**62)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    held = common.stored_count()
+    few = sorted(tuple(x) for x in probminhash.components(df).collect())
+    assert common.stored_count() == held and probminhash.components(df).columns == ["node", "comp"]
+    assert probminhash.components(df.where("a = b")).count() == 0
+    monkeypatch.setattr(probminhash, "MOST_LOCAL", 0)
+    many = sorted(tuple(x) for x in probminhash.components(df).collect())
+    assert common.stored_count() > held and few == many and len({c for _, c in few}) < len(few)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "MOST_LOCAL", 10)
+    test_components(spark)
+
+
 def test_sentencepiece_equals_the_library(documents, prose):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(4)

@@ -61,6 +61,8 @@ SKETCH_BITS, SKETCH_MOST = 128, 36
 #: Ways in which a bucket that holds several components is cut finer.
 CUTS = 4
 ROUNDING = 1e-9
+#: Up to so many edges the components are found by the driver, beyond in jobs.
+MOST_LOCAL = 100_000
 #: A worker holds the shingles of so many documents, and the registers of so many elements.
 SLICE, GROUP_ELEMENTS = 2000, 1 << 17
 
@@ -210,11 +212,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def least_linked(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node linked to each) of the edges (u, v)."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of ``edges`` (a, b): comp is the least node
-    linked to it, found by alternating large and small stars. Aggregates are
-    stored before they are joined, so that a hub's rows can be split in the join."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """(node, comp) of every node of ``edges`` (a, b; stored): comp is the least
+    node linked to it. A few edges are brought to the driver, since each job costs
+    more than they do; with more they stay where they are."""
+    edges = edges.where("a <> b").select("a", "b")
+    if edges.count() > MOST_LOCAL:
+        return _components_by_stars(edges)
+    met = edges.toArrow()
+    nodes, comps = least_linked(*(met.column(c).to_numpy() for c in ("a", "b")))
+    return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "comp": comps}))
+
+
+def _components_by_stars(edges: DataFrame) -> DataFrame:
+    """The same by alternating large and small stars. Aggregates are stored before
+    they are joined, so that a hub's rows can be split in the join."""
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
